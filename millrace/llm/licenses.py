@@ -29,6 +29,8 @@ an empty table on either side gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +75,29 @@ def signature(h: Column, first: Column) -> Column:
     return F.array(*[F.least(*[F.when(F.get(h, first + i).isNotNull(), F.xxhash64(F.get(h, first + i), F.lit(band))) for i in range(WINDOW)]) for band in range(BANDS)])
 
 
-def _with_shingles(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, words(F.col("text")).alias("w")).select(*keep, shingles(F.col("w")).alias("h")).where(F.size("h") > 0)
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, evaluated once: as a lambda's variable the optimizer can't copy it into loops."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _template_windows(h: Column) -> Column:
+    last = F.greatest(F.size(h) - WINDOW, F.lit(0))
+    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: signature(h, i))))
+    return F.struct(F.array_distinct(h).alias("th"), F.size(h).alias("n"), keys.alias("keys"))
+
+
+def _text_windows(h: Column) -> Column:
+    starts = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1, F.lit(WINDOW)))
+    return F.struct(h.alias("h"), F.transform(starts, lambda i: signature(h, i)).alias("bands"))
+
+
+def _of_text(body: Callable[[Column], Column]) -> Column:
+    return bound(words(F.col("text")), lambda w: bound(shingles(w), body))
 
 
 def template_index(rows: DataFrame) -> DataFrame:
     """template_id, license, th (distinct shingles), n, keys (band values of all windows)."""
-    t = _with_shingles(rows, ["template_id", "license"])
-    last = F.greatest(F.size("h") - WINDOW, F.lit(0))
-    return t.select("template_id", "license", F.array_distinct("h").alias("th"), F.size("h").alias("n"), F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: signature(F.col("h"), i)))).alias("keys"))
+    return rows.select("template_id", "license", _of_text(_template_windows).alias("t")).where("t.n > 0").select("template_id", "license", "t.th", "t.n", "t.keys")
 
 
 def scan(docs: DataFrame, rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -104,9 +120,7 @@ def _scan_block(spark: SparkSession, src: DataFrame, block: list, threshold: flo
     keys = sorted({k for t in block for k in t["keys"]})
     shared = spark.createDataFrame([(t.template_id, t.license, t.th, t.n, t["keys"]) for t in block], "template_id long, license string, th array<bigint>, n int, keys array<bigint>")
     wanted = F.from_json(F.lit("[" + ",".join(map(str, keys)) + "]"), "array<bigint>")  # folded to one constant
-    h = _with_shingles(src, ["doc_id", "key"])
-    starts = F.sequence(F.lit(0), F.size("h") - 1, F.lit(WINDOW))
-    signed = h.select("doc_id", "key", "h", F.transform(starts, lambda i: signature(F.col("h"), i)).alias("bands"))
+    signed = src.select("doc_id", "key", _of_text(_text_windows).alias("s")).select("doc_id", "key", "s.h", "s.bands")
     hit = signed.where(F.arrays_overlap(F.flatten("bands"), wanted))
     windows = hit.select("doc_id", "key", "h", F.posexplode("bands").alias("window", "band")).where(F.arrays_overlap("band", wanted))
     places = windows.select("doc_id", "key", "h", (F.col("window") * WINDOW).alias("at"), F.explode(F.array_distinct("band")).alias("k"))
