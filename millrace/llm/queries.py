@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, perplexity, pii, sentence_spans, simhash, tiling
+from . import langid, licenses, mixing, perplexity, pii, quotes, revisits, sentence_spans, simhash, tiling
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = revisits.resolve(revisits.crawl_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    sent = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
+    page = F.floor(F.col("record_id") / 2).cast("long")
+    return done.select(page.alias("page_id"), "url_key", "status", F.floor(F.col("source_id") / 2).cast("long").alias("source_page_id"), sent.alias("headers"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -51,7 +62,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_quotation_linking,
         op3_substring_dedup,
+        op4_revisit_resolution,
         op5_source_mixing,
         op6_pii,
         op7_quality_rules,
@@ -60,4 +73,31 @@ QUERIES: dict[str, Query] = {
         op10_simhash_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+OP4_SQL = r"""
+with parts as (
+  select page_id, md5(html) as tag, nullif(trim(url), '') as url,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest
+  from pages),
+cut as (
+  select page_id, tag, url,
+         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^(www\.|m\.)', ''), ':(80|443)$', '') as host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1), '/+$', '') as path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+           lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$'))) as query
+  from parts),
+keyed as (
+  select page_id, tag, case when url is not null then
+           host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end end as url_key
+  from cut),
+latest as (select url_key, max(page_id) as src, arg_max(tag, page_id) as src_tag from keyed where url_key is not null group by url_key),
+n as (select max(page_id) + 1 as n from pages)
+select k.page_id, k.url_key,
+       case when l.src is null then 'no_response' when k.tag is null or l.src_tag is null then 'no_validator'
+            when k.tag = l.src_tag then 'resolved' else 'validator_mismatch' end as status,
+       case when k.tag = l.src_tag then l.src end as source_page_id,
+       case when k.tag = l.src_tag then 'content-type=text/html&date=' || (k.page_id + n.n) || '&etag=' || l.src_tag || '&expires=' || (k.page_id + 2 * n.n) end as headers
+from keyed k cross join n left join latest l on k.url_key = l.url_key
+""".replace("\\\\", "\\")
+
+ORACLE_SQL: dict[str, str] = {"op4_revisit_resolution": OP4_SQL}
