@@ -1,0 +1,122 @@
+"""Lineage, physical plans, metrics and streaming."""
+
+import urllib.error
+import urllib.request
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import HashPartitioner, InvalidParallelism, Metrics, MetricsServer, Sum
+from millrace.plans.lineage import exchanges
+from millrace.plans.metrics import task_events
+
+
+def kinds(flow):
+    return [s.kind for s in flow.stages()]
+
+
+def pairs(engine):
+    return engine.parallelize([("a", 1), ("b", 2)], "key string, value bigint").keyed()
+
+
+def test_narrow_plan_is_one_stage(engine):
+    flow = engine.range(10).map(lambda c: c.value + 1).filter(lambda c: c.value > 2)
+    assert kinds(flow) == ["result"]
+    assert flow.partitioner is None
+    assert not any(d.shuffle for d in flow.dependencies)
+    assert exchanges(flow.df) == 0
+
+
+def test_shuffle_plan(engine):
+    flow = pairs(engine).reduce_by_key(Sum)
+    assert kinds(flow) == ["shuffle_map", "result"]
+    assert flow.dependencies[0].shuffle
+    assert isinstance(flow.partitioner, HashPartitioner)
+    assert flow.map(lambda c: c.value).partitioner is None
+    assert exchanges(flow.df) == 1
+
+
+def test_diamond_is_walked_once(engine):
+    base = engine.range(8)
+    left = right = base
+    for _ in range(12):
+        left, right = left.map(lambda c: c.value + 1), right.map(lambda c: c.value + 2)
+    assert kinds(left.union(right)) == ["result"]
+    shared = pairs(engine).reduce_by_key(Sum)
+    assert kinds(shared.union(shared.map(lambda c: (c.key, c.value)))) == ["shuffle_map", "result"]
+
+
+def test_chained_shuffles(engine):
+    first = pairs(engine).reduce_by_key(Sum)
+    assert kinds(first.key_by(lambda c: (c.value, c.value)).reduce_by_key(Sum)) == ["shuffle_map", "shuffle_map", "result"]
+    same = first.key_by(lambda c: (c.key, c.value)).reduce_by_key(Sum)
+    assert exchanges(same.df) == 1  # the key's partitioning is used again
+    assert kinds(engine.range(3).distinct()) == ["shuffle_map", "result"]
+
+
+def test_filters_reach_the_scan(engine, sf_dir):
+    flow = engine.read_parquet(f"{sf_dir}/lineitem.parquet").map(lambda c: {"k": c.l_orderkey, "q": c.l_quantity}).filter(lambda c: c.q > 25)
+    plan = flow.df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,25.0)]" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_ids_differ(engine):
+    a = engine.range(1)
+    assert a.id != a.map(lambda c: c.value).id
+
+
+def test_hash_partitioner(spark):
+    p = HashPartitioner(7)
+    assert p.get_partition(spark, "x") == p.get_partition(spark, "x") < 7
+    with pytest.raises(InvalidParallelism):
+        HashPartitioner(0)
+
+
+def test_counters_and_server(engine, spark):
+    before = Metrics(spark).counters()
+    pairs(engine).reduce_by_key(Sum).collect()
+    after = Metrics(spark).counters()
+    assert after["task_attempts_total"] > before["task_attempts_total"]
+    assert after["shuffle_map_records_total"] > before["shuffle_map_records_total"]
+    with MetricsServer(engine.metrics) as server:
+        url = "http://{}:{}".format(*server.address)
+        text = urllib.request.urlopen(f"{url}/metrics").read().decode()
+        assert "# TYPE millrace_task_attempts_total counter" in text
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"{url}/other")
+    assert engine.is_driver and engine.rank == 0 and engine.world_size >= 1 and engine.parallelism == 4
+    assert len(engine.net_bytes()) == 2 and engine.file_partition_opens() >= 0
+
+
+def test_failed_task_is_tried_again(engine, spark, tmp_path):
+    mark = tmp_path / "tried"
+    before = Metrics(spark).counters()["task_failures_total"]
+
+    def once(x):
+        if not mark.exists():
+            mark.touch()
+            raise RuntimeError("first attempt")
+        return x
+
+    assert engine.parallelize([7], partitions=1).map_py(once, "long").collect() == [7]
+    assert Metrics(spark).counters()["task_failures_total"] > before
+
+
+def test_task_events(tmp_path):
+    log = tmp_path / "events"
+    info = '"Task Info":{"Index":1,"Attempt":0,"Launch Time":5,"Finish Time":9,"Failed":false}'
+    log.write_text(f'{{"Event":"SparkListenerTaskStart","Stage ID":2,{info}}}\n{{"Event":"Other"}}\n{{"Event":"SparkListenerTaskEnd","Stage ID":2,{info}}}\n')
+    assert [e["event"] for e in task_events(log)] == ["task_started", "task_finished"]
+    assert list(task_events(log))[1]["duration_us"] == 4000
+
+
+def test_text_stream(spark, tmp_path):
+    from millrace.streaming import run_available, text_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("x y\nx\n")
+    words = text_stream(spark, str(tmp_path / "in")).flat_map(lambda c: F.split(c.value, " "))
+    counts = words.key_by(lambda c: (c.value, F.lit(1))).reduce_by_key(Sum)
+    table = run_available(counts, "stream_counts", str(tmp_path / "state"), "complete")
+    assert {r.key: r.value for r in table.collect()} == {"x": 2, "y": 1}
