@@ -7,31 +7,25 @@ same answer and equal ids with different texts are told apart.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-ROOT = str(Path(__file__).resolve().parents[2])
-#: Serialised size below which a lookup table may be broadcast.
-BROADCAST_BYTES = 32 << 20
+from ..workers import prepare
 
+__all__ = ["connected_components", "numbered", "prepare", "shared_dir", "spool", "table", "text_hash"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where PYTHONPATH lacks it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -59,6 +53,40 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with name, the row's number within its group (a long column) in the order given, from 1.
+
+    One range sort by group and order; a group of any size is spread over tasks.
+    Rows are counted within (partition, group), and only groups that lie in several
+    partitions, fewer than there are partitions, need what came before.
+    """
+    prepare(df.sparkSession)
+    schema = StructType(list(df.schema)).add("__mr_n", "long").add("__mr_pid", "integer")
+    at = df.columns.index(group)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            g = batch.column(at).to_numpy(zero_copy_only=False)
+            if not len(g):
+                continue
+            new = np.ones(len(g), bool)
+            new[1:] = g[1:] != g[:-1]
+            new[0] = last is None or g[0] != last
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+            n = np.arange(len(g)) - np.where(lead >= 0, lead, -seen) + 1
+            last, seen = g[-1], int(n[-1])
+            yield pa.record_batch([*batch.columns, pa.array(n), pa.array(np.full(len(g), pid, np.int32))], names=[*batch.schema.names, "__mr_n", "__mr_pid"])
+
+    rows = spool(df.orderBy(group, *order).mapInArrow(count, schema))
+    parts = rows.groupBy(group, "__mr_pid").agg(F.count("*").alias("__mr_k"))
+    wide = parts.groupBy(group).agg(F.count("*").alias("__mr_p")).where("__mr_p > 1").select(F.col(group).alias("__mr_g"))
+    before = F.sum("__mr_k").over(Window.partitionBy("__mr_g").orderBy("__mr_pid").rowsBetween(Window.unboundedPreceding, -1))
+    base = parts.join(wide, F.col(group) == F.col("__mr_g")).select("__mr_g", F.col("__mr_pid").alias("__mr_q"), before.alias("__mr_base"))
+    out = rows.join(base, (F.col(group) == F.col("__mr_g")) & (F.col("__mr_pid") == F.col("__mr_q")), "left")
+    return out.withColumn(name, F.col("__mr_n") + F.coalesce("__mr_base", F.lit(0))).select(*df.columns, name)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest vertex of each vertex's component: columns ``v``, ``root``.
 

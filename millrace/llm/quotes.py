@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, text_hash
+from .common import numbered, spool, text_hash
 
 MARK = r"^(?:[ \t]*>)+[ \t]?"
 
@@ -87,13 +87,13 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     tree = spool(tree.select("id", "at", "conv_id", "turn", "role", "own", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent"))
     paths = _paths(tree)
     root = F.coalesce(F.get("path", F.lit(0)), F.col("at"))
-    out = tree.join(paths, "id").withColumn("thread", F.coalesce(root["id"], F.col("id")))
-    position = F.row_number().over(Window.partitionBy("thread").orderBy("path", "id"))
+    laid = tree.join(paths, "id").withColumn("thread", F.coalesce(root["id"], F.col("id")))
+    out = numbered(laid, "thread", ["path", "id"], "position")
     return out.select(
         "conv_id", "turn", "role", "n_quotes", "n_linked",
         F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"),
         F.coalesce(root["conv_id"], F.col("conv_id")).alias("thread_conv_id"), F.coalesce(root["turn"], F.col("turn")).alias("thread_turn"),
-        position.cast("long").alias("position"), (F.greatest(F.size("path"), F.lit(1)) - 1).cast("long").alias("depth"),
+        "position", (F.greatest(F.size("path"), F.lit(1)) - 1).cast("long").alias("depth"),
         F.when(F.col("text").isNotNull(), F.trim("own")).alias("clean_text"),
     )
 

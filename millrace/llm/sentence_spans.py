@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textops as T
 from .common import prepare, spool, text_hash
@@ -116,7 +117,7 @@ def _removed(starts: list[list[int] | None], s: T.Spans, n: int, run: int) -> np
 def _apply(docs: DataFrame, found: DataFrame, text_col: str, id_col: str, run: int, long_words: int, digest: bool) -> DataFrame:
     src = docs.withColumn("__mr_key", F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col)))
     joined = src.join(found.select(F.col("key").alias("__mr_k2"), F.col("starts").alias("__mr_starts")), F.col("__mr_key") == F.col("__mr_k2"), "left").drop("__mr_key", "__mr_k2")
-    schema = docs.schema
+    schema = StructType(list(docs.schema))
     if digest:
         schema = schema.add("n_sentences", "long").add("n_removed", "long").add("removed", "string")
 

@@ -43,6 +43,22 @@ def test_a_chain_of_quotes_is_one_thread(spark):
     assert sorted((r.conv_id, r.position, r.depth) for r in got) == [(i, i + 1, i) for i in range(40)]
 
 
+def test_a_passage_that_all_quote_is_one_thread(spark):
+    """A thread of 500 messages over several partitions is numbered without gaps."""
+    rows = [(0, 0, "u", "the origin"), *((i, 0, "u", f"> the origin\nreply {i}") for i in range(1, 500))]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(9)).collect()
+    assert sorted((r.position, r.conv_id) for r in got) == [(i + 1, i) for i in range(500)]
+
+
+def test_numbers_within_groups(spark):
+    from millrace.llm.common import numbered
+
+    df = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(3000)], "g long, x long").repartition(11)
+    got = {r.x: r.n for r in numbered(df, "g", ["x"], "n").collect()}
+    hot = [x for x in range(3000) if x % 3]
+    assert got == {x: 1 for x in range(3000) if not x % 3} | {x: i + 1 for i, x in enumerate(hot)}
+
+
 def test_empty_messages(spark):
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
