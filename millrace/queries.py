@@ -37,7 +37,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> Flow:
 
 def _words(spark: SparkSession, sf_dir: str) -> Flow:
     """value: the words of all documents, split at white space."""
-    return _read(spark, sf_dir, "documents").flat_map(lambda c: F.split(c.text, r"\s+")).filter(lambda c: c.value != "")
+    engine = Engine(spark)
+    texts = engine.read_parquet(f"{sf_dir}/documents.parquet", engine.parallelism)
+    return texts.flat_map(lambda c: F.split(c.text, r"\s+")).filter(lambda c: c.value != "")
 
 
 def _one(spark: SparkSession, value: int, name: str) -> DataFrame:

@@ -119,5 +119,5 @@ class Engine:
     def read_text_file(self, path: str, partitions: int | None = None) -> Flow:
         return Flow.source(sources.text_lines(self.spark, path, partitions))
 
-    def read_parquet(self, path: str) -> Flow:
-        return Flow.source(sources.parquet(self.spark, path))
+    def read_parquet(self, path: str, partitions: int | None = None) -> Flow:
+        return Flow.source(sources.parquet(self.spark, path, partitions))

@@ -63,15 +63,23 @@ def text_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFram
             raise SourceNotFound(path) from e
         raise
     df = df.select(F.regexp_replace("value", r"\r\z", "").alias("value"))
-    if n is not None and df.rdd.getNumPartitions() < check_partitions(n):
+    if n is not None and check_partitions(n) > df.rdd.getNumPartitions():
         df = df.repartition(n)
     return df
 
 
-def parquet(spark: SparkSession, path: str) -> DataFrame:
+def parquet(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """The columns of Parquet files. A scan of fewer than n partitions is dealt out to n.
+
+    A large table has more row groups than n and isn't shuffled; a small one of a
+    single row group would else leave all but one thread idle.
+    """
     try:
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise SourceNotFound(path) from e
         raise
+    if n is not None and check_partitions(n) > df.rdd.getNumPartitions():
+        df = df.repartition(n)
+    return df

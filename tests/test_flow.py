@@ -164,3 +164,13 @@ def test_missing_path_is_found_at_once(engine, tmp_path):
         engine.read_text_file(str(tmp_path / "none"))
     with pytest.raises(SourceNotFound):
         engine.read_parquet(str(tmp_path / "none"))
+
+
+def test_small_parquet_is_dealt_out(engine, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    whole, dealt = engine.read_parquet(path), engine.read_parquet(path, 7)
+    assert dealt.num_partitions == 7 and dealt.count() == whole.count()
+    plan = dealt.map(lambda c: c.doc_id).df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan  # only the columns asked for are dealt
+    with pytest.raises(InvalidParallelism):
+        engine.read_parquet(path, 0)
