@@ -101,8 +101,9 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """rows with taken: the words of the document in the mix, repeats counted."""
+        # the planner takes the slots for as small as the draws they come from: merge, never broadcast
         used = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-        got = self.pieces().join(used, ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+        got = self.pieces().join(used.hint("merge"), ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
         return self.rows.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
@@ -218,7 +219,7 @@ def mixed_blocks(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "
     pieces = placed.mapInArrow(cut, "source_no int, block long, at long, doc_id long, n long, text string")
     whole = pieces.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "n", "text"))).alias("p"))
     names = docs.sparkSession.createDataFrame([(s["source_no"], s["source"]) for s in mix.sources], "source_no int, source string")
-    out = mix.slots.join(whole, ["source_no", "block"]).join(F.broadcast(names), "source_no")  # a row for each source
+    out = mix.slots.join(whole.hint("merge"), ["source_no", "block"]).join(F.broadcast(names), "source_no")  # a row for each source
     total = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return out.select("shard", "position", "source", "block", F.col("p.doc_id").alias("doc_ids"), total.alias("n_words"), F.array_join("p.text", "\n").alias("text"))
 
