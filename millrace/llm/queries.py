@@ -100,4 +100,24 @@ select k.page_id, k.url_key,
 from keyed k cross join n left join latest l on k.url_key = l.url_key
 """.replace("\\\\", "\\")
 
-ORACLE_SQL: dict[str, str] = {"op4_revisit_resolution": OP4_SQL}
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Exact containment of every template in every document: all that MinHash should retrieve.
+OP1_SQL = rf"""
+with t(template_id, license, text) as (values {", ".join(f"({i}, {_literal(a)}, {_literal(b)})" for i, (a, b) in enumerate(licenses.TEMPLATES))}),
+tw as (select template_id, license, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from t),
+ti as (select template_id, license, w, unnest(range(1, len(w) - 3)) as i from tw where len(w) >= 5),
+ts as (select template_id, license, array_to_string(w[i:i + 4], ' ') as s, min(i) as i from ti group by template_id, license, s),
+tn as (select template_id, count(*) as n from ts group by template_id),
+dw as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from documents),
+di as (select doc_id, w, unnest(range(1, len(w) - 3)) as pos from dw where len(w) >= 5),
+ds as (select doc_id, array_to_string(w[pos:pos + 4], ' ') as s, min(pos) - 1 as pos from di group by doc_id, s),
+m as (select doc_id, template_id, license, count(*) as held, arg_min(pos, i)::integer as first_word from ds join ts using (s) group by doc_id, template_id, license)
+select doc_id, template_id::bigint as template_id, license, held / n as containment, first_word
+from m join tn using (template_id) where held / n >= {licenses.THRESHOLD}
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": OP1_SQL, "op4_revisit_resolution": OP4_SQL}
