@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from . import operators
 from .errors import EmptyDataset, SchemaMismatch
-from .functions import Combiner
-from .plans.lineage import Dependency, HashPartitioner, Node, stages_of
+from .functions import Collect, Combiner
+from .plans.lineage import Dependency, HashPartitioner, Node, stages_of, walk
 
 _ids = count()
 
@@ -97,10 +97,8 @@ class Flow:
 
     def distinct(self) -> Flow:
         """Each different row once; order undefined; nulls equal each other."""
-        return self._next(self.df.distinct(), "shuffle", HashPartitioner(self._shuffle_partitions()))._next_like_narrow()
-
-    def _next_like_narrow(self) -> Flow:
-        return self._next(self.df)
+        shuffled = self._next(self.df.distinct(), "shuffle")
+        return shuffled._next(shuffled.df)
 
     def _shuffle_partitions(self) -> int:
         return int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -182,7 +180,12 @@ class Flow:
     def num_partitions(self) -> int:
         return self.df.rdd.getNumPartitions()
 
+    def lineage(self) -> list[Node]:
+        """The operators that made this flow, nearest first."""
+        return walk(self.node)
+
     def stages(self) -> list:
+        """One stage for each shuffle below, parents first, and the result."""
         return stages_of(self.node)
 
 
@@ -212,8 +215,6 @@ class KeyedFlow(Flow):
 
     def group_by_key(self) -> Flow:
         """All values of a key in an array, nulls kept, order undefined."""
-        from .functions import Collect
-
         return self.aggregate(value=Collect)
 
     def combine_by_key_py(self, create: Callable, merge_value: Callable, merge_combiners: Callable, combiner: str | T.DataType) -> Flow:

@@ -50,6 +50,10 @@ class Metrics:
             out["shuffle_map_records_total"] += s.shuffleWriteRecords()
         return out
 
+    def of_executors(self, metric: str) -> dict[str, int]:
+        found = self.spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return {x.id(): int(getattr(x, metric)()) for x in (found.apply(i) for i in range(found.size()))}
+
     def input_tasks(self) -> int:
         return sum(s.numCompleteTasks() for s in self._stages() if s.inputBytes() > 0)
 

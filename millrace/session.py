@@ -52,6 +52,10 @@ class EngineBuilder:
         self._conf[key] = str(value)
         return self
 
+    def build(self) -> Engine:
+        """The engine; a session that runs already is used again."""
+        return self.get_or_create()
+
     def get_or_create(self) -> Engine:
         n = parse_master(self._master)
         url = f"local[{n or '*'},{self._attempts}]"
@@ -97,6 +101,10 @@ class Engine:
     def metrics(self) -> Metrics:
         return Metrics(self.spark)
 
+    def gather(self, metric: str = "totalTasks") -> dict[str, int]:
+        """One number of each executor: a field of Spark's executor summaries."""
+        return self.metrics.of_executors(metric)
+
     def net_bytes(self) -> tuple[int, int]:
         """Shuffle bytes written and read by all stages so far."""
         m = self.metrics.counters()

@@ -66,6 +66,20 @@ def test_ids_differ(engine):
     assert a.id != a.map(lambda c: c.value).id
 
 
+def test_lineage(engine):
+    base = engine.range(4)
+    flow = base.map(lambda c: c.value + 1).union(base)
+    assert [n.kind for n in flow.lineage()] == ["narrow", "narrow", "source"]
+    assert flow.dependencies[1].parent == base.id
+
+
+def test_executor_values(engine):
+    engine.range(10).count()
+    before = sum(engine.gather().values())
+    engine.range(10).count()
+    assert sum(engine.gather().values()) > before
+
+
 def test_hash_partitioner(spark):
     p = HashPartitioner(7)
     assert p.get_partition(spark, "x") == p.get_partition(spark, "x") < 7
