@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..workers import prepare
 
-__all__ = ["connected_components", "numbered", "prepare", "shared_dir", "spool", "table", "text_hash"]
+__all__ = ["connected_components", "discard", "numbered", "prepare", "shared_dir", "spool", "table", "text_hash"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +49,14 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a spooled table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/spool-" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
@@ -109,7 +117,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # every edge now points from a larger to a smaller vertex
         low = large.groupBy("a").agg(F.min("b").alias("lo"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("lo").alias("b")), F.struct("a", F.col("lo").alias("b")))).alias("e"))
-        e = spool(small.select("e.a", "e.b").where("a <> b").distinct())
+        old, e = e, spool(small.select("e.a", "e.b").where("a <> b").distinct())
+        discard(old)
         now = mark(e)
         if now == seen:
             break
