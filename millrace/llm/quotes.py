@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, spool, text_hash
+from .common import discard, numbered, spool, text_hash
 
 MARK = r"^(?:[ \t]*>)+[ \t]?"
 
@@ -65,7 +65,7 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     """One row for each message: its quotes, parent, thread, position in it, and clean text."""
     m = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     m = m.withColumn("th", text_hash()).dropDuplicates(["conv_id", "turn", "role", "th"])
-    m = m.withColumn("id", F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.coalesce("role", F.lit("")), "th"))
+    m = m.withColumn("id", F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.col("role").isNull(), F.coalesce("role", F.lit("")), "th"))
     m = m.withColumn("at", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct("conv_id", "turn", "th", "id")))
     p = parsed(m).withColumn("own", F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"))
     quoted = F.when(F.exists("lines", lambda x: x["level"] > 0), _passages(F.col("lines")))
@@ -85,23 +85,40 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     known = p.where("at is not null").select("id", before.alias("previous"))
     tree = p.join(found, "id", "left").join(known, "id", "left").withColumn("parent", F.coalesce("quoted_from", "previous"))
     tree = spool(tree.select("id", "at", "conv_id", "turn", "role", "own", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent"))
-    paths = _paths(tree)
-    root = F.coalesce(F.get("path", F.lit(0)), F.col("at"))
-    laid = tree.join(paths, "id").withColumn("thread", F.coalesce(root["id"], F.col("id")))
-    out = numbered(laid, "thread", ["path", "id"], "position")
+    out = tree.join(_places(tree), "id")
     return out.select(
         "conv_id", "turn", "role", "n_quotes", "n_linked",
         F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"),
-        F.coalesce(root["conv_id"], F.col("conv_id")).alias("thread_conv_id"), F.coalesce(root["turn"], F.col("turn")).alias("thread_turn"),
-        "position", (F.greatest(F.size("path"), F.lit(1)) - 1).cast("long").alias("depth"),
+        F.col("root.conv_id").alias("thread_conv_id"), F.col("root.turn").alias("thread_turn"), "position", "depth",
         F.when(F.col("text").isNotNull(), F.trim("own")).alias("clean_text"),
     )
 
 
-def _paths(tree: DataFrame) -> DataFrame:
-    """id and path: the messages from the thread's root to the message, by doubling."""
-    p = spool(tree.select("id", F.when(F.col("at").isNotNull(), F.array("at")).otherwise(F.array().cast("array<struct<conv_id:bigint,turn:bigint,th:bigint,id:bigint>>")).alias("path"), F.col("parent.id").alias("up")))
-    while p.where("up is not null").limit(1).count():
-        above = p.select(F.col("id").alias("up"), F.col("path").alias("head"), F.col("up").alias("next"))
-        p = spool(p.join(above, "up", "left").select("id", F.concat(F.coalesce("head", F.array().cast(p.schema["path"].dataType)), "path").alias("path"), F.col("next").alias("up")))
-    return p.select("id", "path")
+def _places(tree: DataFrame) -> DataFrame:
+    """id, root (conv_id, turn), position and depth of each message in its thread.
+
+    A thread's tour goes down to each message, through its replies in order, and up
+    again: two arcs for each message, each with a successor that is known from the
+    message's first reply, next sibling or parent.  Sums from an arc to the tour's end
+    are made by doubling, over arcs that haven't met the end, so neither a long chain
+    nor a message that many reply to is held by one row or task.
+    """
+    kids = tree.where("parent is not null").select("id", F.col("parent.id").alias("up"), "at")
+    kids = spool(numbered(kids, "up", ["at"], "n").drop("at"))
+    first = kids.where("n = 1").select(F.col("up").alias("id"), F.col("id").alias("child"))
+    later = kids.select("up", (F.col("n") - 1).alias("n"), F.col("id").alias("sibling"))
+    after = kids.join(later, ["up", "n"], "left").select("id", "up", "sibling")
+    near = tree.select("id").join(first, "id", "left").join(after, "id", "left")
+    down = F.struct(F.lit(0).alias("k"), F.lit(1).alias("n"), F.lit(1).alias("d"), F.coalesce("child", "id").alias("to"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("to_k"))
+    up = F.struct(F.lit(1).alias("k"), F.lit(0).alias("n"), F.lit(-1).alias("d"), F.coalesce("sibling", "up").alias("to"), F.when(F.col("sibling").isNull(), 1).otherwise(0).alias("to_k"))
+    arcs = near.select("id", F.explode(F.array(down, up)).alias("x")).select("id", "x.k", F.col("x.n").cast("long").alias("n"), F.col("x.d").cast("long").alias("d"), "x.to", "x.to_k")
+    arcs = spool(arcs.withColumn("end", F.when(F.col("to").isNull(), F.col("id"))))
+    while arcs.where("to is not null").limit(1).count():
+        then = arcs.select(F.col("id").alias("to"), F.col("k").alias("to_k"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("to").alias("to2"), F.col("to_k").alias("to_k2"), F.col("end").alias("end2"))
+        went = arcs.where("to is not null").join(then, ["to", "to_k"])
+        went = went.select("id", "k", (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), F.col("to2").alias("to"), F.col("to_k2").alias("to_k"), F.col("end2").alias("end"))
+        old, arcs = arcs, spool(arcs.where("to is null").unionByName(went))
+        discard(old)
+    tours = arcs.where("k = 0").select("id", "n", (-F.col("d")).alias("depth"), "end")
+    whole = tours.where("id = end").join(tree.select("id", F.struct("conv_id", "turn").alias("root")), "id").select("end", F.col("n").alias("all"), "root")
+    return tours.join(whole, "end").select("id", "root", (F.col("all") - F.col("n") + 1).alias("position"), "depth")
