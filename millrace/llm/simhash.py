@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from . import textops as T
 from .common import connected_components, prepare, spool, text_hash
 
@@ -124,10 +125,19 @@ def components(prints: DataFrame, **options) -> DataFrame:
     return at.join(best, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, **options) -> DataFrame:
-    """One row for each document: doc_id, th, fp, root and component_id."""
-    prints = spool(fingerprint(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    return prints.join(components(prints, **options), "fp").select("doc_id", "th", "fp", "root", "component_id")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = similar.SHINGLE, similarity: float | None = similar.SIMILARITY, **options) -> DataFrame:
+    """One row for each document: doc_id, th, fp, root and component_id.
+
+    Documents are linked by the similarity of their shingles (``similar``; fp is then
+    a hash of the words), or with ``similarity=None`` by their fingerprints' bits.
+    """
+    if similarity is None:
+        prints = spool(fingerprint(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+        linked = components(prints, **options)
+    else:
+        prints = spool(similar.prints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+        linked = similar.components(docs, prints, text_col=text_col, shingle=shingle, similarity=similarity, **options)
+    return prints.join(linked, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
