@@ -5,20 +5,22 @@ between them allowed).  Lines of one level that follow each other are a passage.
 Passages and messages are normalised (case and runs of white space) and hashed.
 What a message may be quoted by: its own text without quotes, whole, each of its
 paragraphs (between blank lines) and each of its lines.  A quoted passage, and
-each of its lines, is joined to the earliest message that wrote it.
-
-A message's parent is the original of its first linked quote of the lowest level,
-if that is earlier than the message in the order of (conversation, turn); else,
-with ``follow_turns``, the message before it in its conversation.  Replies are
-then laid out depth first: ``position`` counts the messages of a thread so that
+each of its lines, is joined to the earliest message that wrote it: the earliest of
+its own conversation, if that is earlier than the quote, else the earliest of all.
+
+A message's parent is the original of its best linked quote, if that is earlier than
+the message in the order of (conversation, turn).  Best is the lowest level, there a
+whole passage before a line, then one from the same conversation, then the longest,
+then the first.  Without one the parent is, with ``follow_turns``, the message before
+it in its conversation.  Replies are then laid out depth first: ``position`` counts the messages of a thread so that
 every message follows its parent and siblings keep their order.
 
 Defined cases: null text has no passages and stays null; null conversation or
 turn: the row is kept, links to nothing and is a thread of its own; repeated rows
 (same conversation, turn and text) are one message; two texts under one
 (conversation, turn) are ordered by their hashes; a passage that many messages
-wrote belongs to the first; a quote of nothing known is counted and dropped
-from the clean text all the same; an empty table gives no rows; other columns
+wrote belongs to the first of the conversation, or of all; a quote of nothing known
+is counted and dropped from the clean text all the same; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -71,15 +73,21 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     quoted = F.when(F.exists("lines", lambda x: x["level"] > 0), _passages(F.col("lines")))
     p = spool(p.select("id", "at", "conv_id", "turn", "role", "text", "own", F.coalesce(F.filter(quoted, lambda x: (x["level"] > 0) & (F.length(F.trim(x["body"])) > 0)), F.array().cast("array<struct<pos:int,level:int,body:string>>")).alias("quotes")))
 
-    # originals: whole messages, paragraphs and lines, each filed under its first writer
+    # originals: whole messages, paragraphs and lines, each filed under the first writer of each conversation
     units = F.array_distinct(F.filter(F.transform(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")), normal), lambda x: F.length(x) > 0))
-    asked = p.where(F.size("quotes") > 0).select("id", "at", F.explode("quotes").alias("q")).select("id", "at", "q.pos", "q.level", F.explode(F.array_distinct(F.concat(F.array(normal(F.col("q.body"))), F.filter(F.transform(F.split("q.body", "\n"), normal), lambda x: F.length(x) > 0)))).alias("unit"))
-    asked = asked.select("id", "at", "pos", "level", F.xxhash64("unit").alias("h"))
+    whole = normal(F.col("q.body"))
+    parts = F.filter(F.array_distinct(F.transform(F.split("q.body", "\n"), normal)), lambda x: (F.length(x) > 0) & (x != whole))
+    every = F.concat(F.array(F.struct(F.lit(0).alias("part"), whole.alias("unit"))), F.transform(parts, lambda x: F.struct(F.lit(1).alias("part"), x.alias("unit"))))
+    asked = p.where(F.size("quotes") > 0).select("id", "at", F.explode("quotes").alias("q")).select("id", "at", "q.pos", "q.level", F.explode(every).alias("u"))
+    asked = asked.select("id", "at", "pos", "level", F.col("u.part").alias("part"), (-F.length("u.unit")).alias("short"), F.xxhash64("u.unit").alias("h"), F.col("at.conv_id").alias("conv"))
     wanted = asked.select("h").distinct()
     written = p.where("at is not null").select("at", F.explode(units).alias("unit")).select("at", F.xxhash64("unit").alias("h"))
-    origin = written.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("at").alias("origin"))
-    linked = asked.join(origin, "h").where(F.col("origin") < F.col("at"))
-    found = linked.groupBy("id").agg(F.min(F.struct("level", "pos", "origin")).alias("best"), F.count_distinct("pos").alias("n_linked")).select("id", F.col("best.origin").alias("quoted_from"), "n_linked")
+    here = spool(written.join(wanted, "h", "left_semi").groupBy("h", F.col("at.conv_id").alias("conv")).agg(F.min("at").alias("here")))
+    origin = here.groupBy("h").agg(F.min("here").alias("first"))
+    linked = asked.join(origin, "h").join(here, ["h", "conv"], "left")
+    linked = linked.withColumn("elsewhere", ~F.coalesce(F.col("here") < F.col("at"), F.lit(False)))
+    linked = linked.withColumn("origin", F.when(F.col("elsewhere"), F.col("first")).otherwise(F.col("here"))).where(F.col("origin") < F.col("at"))
+    found = linked.groupBy("id").agg(F.min(F.struct("level", "part", "elsewhere", "short", "pos", "origin")).alias("best"), F.count_distinct("pos").alias("n_linked")).select("id", F.col("best.origin").alias("quoted_from"), "n_linked")
 
     before = F.lag("at").over(Window.partitionBy("conv_id").orderBy("at")) if follow_turns else F.lit(None).cast(p.schema["at"].dataType)
     known = p.where("at is not null").select("id", before.alias("previous"))

@@ -50,6 +50,18 @@ def test_a_passage_that_all_quote_is_one_thread(spark):
     assert sorted((r.position, r.conv_id) for r in got) == [(i + 1, i) for i in range(500)]
 
 
+def test_common_greetings_do_not_tie_conversations_together(spark):
+    """The whole passage counts before its lines, and the own conversation before others."""
+    rows = [(0, 0, "u", "Hi,\nsomething else\nThanks")]
+    for i in range(1, 30):
+        rows += [(i, 0, "u", f"Hi,\nmy question {i}"), (i, 1, "a", f"> Hi,\n> my question {i}\nanswer {i}"), (i, 2, "u", "> Hi,\nthis only greets"), (i, 3, "a", f"> Hi,\n> answer {i}\nmore")]
+    rows += [(50, 0, "u", "> Thanks\nmine"), (51, 0, "u", "> something else\n> unknown\n\nmine too")]
+    got = {(r.conv_id, r.turn): (r.parent_conv_id, r.parent_turn) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), follow_turns=False).collect()}
+    for i in range(1, 30):
+        assert [got[i, t] for t in range(4)] == [(None, None), (i, 0), (i, 0), (i, 1)]
+    assert got[50, 0] == got[51, 0] == (0, 0)
+
+
 def test_numbers_within_groups(spark):
     from millrace.llm.common import numbered
 
