@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -8,7 +10,7 @@ from millrace.llm import queries, tiling
 
 
 def toks(t):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    return re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|(?:(?![\u3040-\u30ff\u4e00-\u9fff])[^\W_])+", (t or "").lower())
 
 
 def greedy(a, b, k):
@@ -38,11 +40,32 @@ def test_tiles_cover_what_the_slow_way_covers(seed):
     b = [rnd.choice("abcd") for _ in range(rnd.randint(5, 20))]
     if seed % 3 == 0 and len(b) > 10:
         a[5:5] = b[6:] + b[:6]
-    seeds = tiling.Seeds([1], [" ".join(b)], 3)
-    h, row = tiling.tokens(pa.array([" ".join(a)]))
-    _, i, _, j = seeds.meet(h, row)
-    got = tiling.tile(i, j, 3) if len(i) else []
-    assert sorted(t[2] for t in got) == sorted(t[0] for t in greedy(a, b, 3))
+    (ha, _), (hb, _) = (tiling.tokens(pa.array([" ".join(x)])) for x in (a, b))
+    assert [(n, i, j) for i, j, n in tiling.tile(ha, hb, 3)] == greedy(a, b, 3)
+
+
+def test_tokens_of_other_scripts():
+    texts = ["\u201cThe cat\u2019s caf\u00e9\u201d \u2014 no\u00a0break", "\u6771\u4eac\u30bf\u30ef\u30fc\u306b2020\u5e74a", "", "x\u0301y", "\U0001f600a\U00020000b"]
+    got, at = [], tiling.tokens(pa.array(texts))
+    for i, t in enumerate(texts):
+        data = t.lower().encode()
+        s = tiling.token_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        got.append([data[a:b].decode() for a, b in zip(s.start, s.end, strict=True)])
+        assert len(got[-1]) == (at[1] == i).sum()
+    assert got == [["the", "cat", "s", "caf\u00e9", "no", "break"], [*"\u6771\u4eac\u30bf\u30ef\u30fc\u306b", "2020", "\u5e74", "a"], [], ["x\u0301y"], ["a", "\U00020000", "b"]]
+
+
+def test_repetitive_texts_take_memory_in_proportion(spark):
+    """200,000 tokens of two words against an item of 1,000: no pairs of positions are made."""
+    rnd = random.Random(3)
+    texts = ["to be " * 100_000, " ".join(rnd.choice(("to", "be", "or", "not")) for _ in range(200_000))]
+    items = ["to be " * 500, " ".join(rnd.choice(("to", "be", "or", "not")) for _ in range(1000)), "to be or not " * 5 + "entirely other words that nobody has ever written down before in any text " * 9]
+    seeds = tiling.Seeds([1, 2, 3], items, 4)
+    tracemalloc.start()
+    got = [(r, i, c) for r, i, c, _, _ in tiling.matches(pa.array(texts), seeds, 0.5)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert [x[:2] for x in got] == [(0, 1), (1, 1), (1, 2)] and got[0][2] == 1 and got[2][2] > 0.9
 
 
 def test_query_against_brute_force(spark, sf_dir, docs):
@@ -70,10 +93,10 @@ def test_reordered_passages_are_caught_and_clean_texts_kept(spark):
         (3, "the cat sat on the mat and nothing else of it is here"), (4, None), (5, ""),
     ], "doc_id long, text string")
     bench = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (None, item)], "item_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in tiling.contaminated(docs, bench).collect()] == [(1, 10)]
+    assert [(r.doc_id, r.item_id) for r in tiling.contaminated(docs, bench).orderBy("item_id").collect()] == [(1, None), (1, 10)]
     assert [r.doc_id for r in tiling.clean(docs, bench).collect()] == [2, 3, 4, 5]
     # many blocks give what one gives
-    assert [(r.doc_id, r.item_id) for r in tiling.contaminated(docs, bench, block_bytes=20).collect()] == [(1, 10)]
+    assert [(r.doc_id, r.item_id) for r in tiling.contaminated(docs, bench, block_bytes=20).orderBy("item_id").collect()] == [(1, None), (1, 10)]
 
 
 def test_odd_rows_and_empty_tables(spark, odd, empty):
