@@ -29,8 +29,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = revisits.resolve(revisits.crawl_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     sent = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
-    page = F.floor(F.col("record_id") / 2).cast("long")
-    return done.select(page.alias("page_id"), "url_key", "status", F.floor(F.col("source_id") / 2).cast("long").alias("source_page_id"), sent.alias("headers"))
+    return done.select("record_id.page_id", "record_id.visit", "url_key", "status", F.col("source_id.page_id").alias("source_page_id"), F.col("source_id.visit").alias("source_visit"), sent.alias("headers"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,29 +75,47 @@ QUERIES: dict[str, Query] = {
 
 OP4_SQL = r"""
 with parts as (
-  select page_id, md5(html) as tag, nullif(trim(url), '') as url,
+  select page_id, html, nullif(trim(url), '') as url,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest
   from pages),
 cut as (
-  select page_id, tag, url,
+  select page_id, html, url,
          regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^(www\.|m\.)', ''), ':(80|443)$', '') as host,
          regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1), '/+$', '') as path,
          list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
            lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$'))) as query
   from parts),
-keyed as (
-  select page_id, tag, case when url is not null then
+visits as (
+  select page_id, visit, page_id % 100003 as start, page_id % 4 as kind, html,
+         case when page_id % 3 = 0 then visit else 0 end as version,
+         case when url is not null then
            host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end end as url_key
-  from cut),
-latest as (select url_key, max(page_id) as src, arg_max(tag, page_id) as src_tag from keyed where url_key is not null group by url_key),
-n as (select max(page_id) + 1 as n from pages)
-select k.page_id, k.url_key,
-       case when l.src is null then 'no_response' when k.tag is null or l.src_tag is null then 'no_validator'
-            when k.tag = l.src_tag then 'resolved' else 'validator_mismatch' end as status,
-       case when k.tag = l.src_tag then l.src end as source_page_id,
-       case when k.tag = l.src_tag then 'content-type=text/html&date=' || (k.page_id + n.n) || '&etag=' || l.src_tag || '&expires=' || (k.page_id + 2 * n.n) end as headers
-from keyed k cross join n left join latest l on k.url_key = l.url_key
-""".replace("\\\\", "\\")
+  from cut cross join (values (0), (1), (2)) v(visit)),
+responses as (
+  select url_key, page_id, visit, start + visit * 1000 as ts,
+         case when kind <= 1 then md5(html || version) end as tag,
+         case when kind in (1, 2) then 'day ' || (start // 500 + version) end as day
+  from visits where url_key is not null),
+latest as (  -- of one URL and time the largest record counts
+  select url_key, ts, unnest(max(row(page_id, visit, tag, day)::struct(page_id bigint, visit integer, tag varchar, day varchar))) from responses group by url_key, ts),
+revisits as (
+  select url_key, page_id, visit, start + visit * 1000 - 200 + (page_id % 89) * 31 % 1500 as ts,
+         case when kind <= 1 and visit < 2 then md5(html || 0) end as tag,
+         case when kind in (1, 2) then 'day ' || (start // 500) end as day
+  from visits),
+met as (
+  select r.*, l.page_id as src, l.visit as src_visit, l.tag as src_tag, l.day as src_day,
+         case when l.page_id is null then null when r.tag is not null and l.tag is not null then r.tag = l.tag
+              when r.day is not null and l.day is not null then r.day = l.day end as agree
+  from revisits r asof left join latest l on r.url_key = l.url_key and r.ts > l.ts)
+select page_id, visit, url_key,
+       case when src is null then 'no_response' when agree is null then 'no_validator'
+            when agree then 'resolved' else 'validator_mismatch' end as status,
+       case when agree then src end as source_page_id, case when agree then src_visit end as source_visit,
+       case when agree then 'content-type=text/html&date=' || ts || case when src_tag is not null then '&etag=' || src_tag else '' end
+            || '&expires=' || (ts + 50) || case when src_day is not null then '&last-modified=' || src_day else '' end end as headers
+from met
+"""
 
 
 def _literal(text: str) -> str:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -115,15 +118,31 @@ def brute(records):
 def test_revisits_against_brute_force(spark):
     schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
     df = spark.createDataFrame(RECORDS, schema).withColumn("slice", F.lit(3)).withColumn("u", F.lit("z"))
-    for slices in (1, 7, 64):
-        got = [(r.record_id, r.source_id, r.status, r.headers) for r in revisits.resolve(df, slices=slices).collect()]
+    for ranges in (None, 1, 7, 64):
+        got = [(r.record_id, r.source_id, r.status, r.headers) for r in revisits.resolve(df, ranges=ranges).collect()]
         assert sorted(got, key=str) == sorted(brute(RECORDS), key=str)
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_a_hot_url_with_bursts_of_one_second(spark):
+    """Many records of one URL and one time, over many ranges, very long validators and ids beyond 2**53."""
+    rnd = random.Random(5)
+    big = (1 << 63) - 2000
+    rows = [(big + i, "http://hot.com/", rnd.choice((7, 7, 7, rnd.randint(0, 40))), rnd.choice(("response", "revisit")), rnd.choice(("a", "b" * 5000, None)), rnd.choice(("mon", None)), {"etag": "x", "date": str(i)}) for i in range(600)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")
+    got = [(r.record_id, r.source_id, r.status, r.headers) for r in revisits.resolve(df, ranges=13).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
 def test_query_against_sql(spark, sf_dir):
     c = duckdb.connect()
     c.sql(f"create view pages as select * from '{sf_dir}/pages.parquet'")
     want = c.sql(queries.ORACLE_SQL["op4_revisit_resolution"])
     df = queries.op4_revisit_resolution(spark, sf_dir)
-    assert sorted(map(repr, (tuple(r[x] for x in want.columns) for r in df.collect()))) == sorted(map(repr, want.fetchall()))
+    rows = [tuple(r[x] for x in want.columns) for r in df.collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want.fetchall()))
+    status = Counter(r[want.columns.index("status")] for r in rows)
+    assert set(status) == {"resolved", "validator_mismatch", "no_validator", "no_response"}
+    # a join that ignores time gives other rows
+    timeless = c.sql(queries.ORACLE_SQL["op4_revisit_resolution"].replace("and r.ts > l.ts", "and r.ts > l.ts - 1000000")).fetchall()
+    assert sorted(map(repr, rows)) != sorted(map(repr, timeless))
