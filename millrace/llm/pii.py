@@ -7,13 +7,19 @@ document frequencies over the whole corpus, the disclosure of entity c by term t
     PMI(c; t) / IC(c),   PMI = log2(N n(c,t) / (n(c) n(t))),   IC = log2(N / n(c))
 
 which is 1 if t occurs only near c (seeing t gives all the information about c)
-and 0 if t and c are independent.  n(c,t) counts the documents in which t stands
-within ``context`` characters of c.  A term seen near c in ``support`` documents
-at least is generalised from ``generalise`` on and removed from ``remove`` on,
-where it stands near c.
-
-Only DataFrame functions are used.  Counting the corpus's terms is one map-side
-combined aggregation of 64-bit hashes; texts aren't shuffled to find spans.
+and 0 if t and c are independent.  n(c,t) counts the documents in which t is among
+the ``context`` words and entities on either side of c.  A term that discloses an
+entity of its document by ``generalise`` at least is a term span wherever it stands in that
+document: it is generalised, or from ``remove`` on removed.  One document is enough:
+a word that occurs nowhere else and stands next to an address tells all about it.
+
+Only DataFrame functions are used, and each takes time in proportion to a text's
+length, however many entities it holds.  Matches leave the scan as lengths (what lies
+before each, and its own); running sums over a document's matches make positions of
+them, and windows over its words and entities by position make their contexts.  Only
+documents with a match are expanded, and repeated rows once.  Counting the corpus's
+terms is one map-side combined aggregation of 64-bit hashes.  Texts aren't shuffled
+to find spans; to replace them, those with a match are.
 
 The patterns are written so that matching takes linear time: repetitions are
 possessive and a match can only start where the plain pattern's could, which
@@ -21,21 +27,25 @@ leaves the matches unchanged.
 
 Defined cases: null text is empty and has no spans; a null id is an id; repeated
 rows get the same answer (and count as documents of their own in n); an entity
-that every document holds has no information and discloses nothing; an empty
-table gives no rows; ``sanitise`` keeps further columns.
+that every document holds has no information and discloses nothing; a word that
+touches an entity is part of it and no term; an empty table gives no rows;
+``sanitise`` keeps further columns.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, text_hash
+from .common import spool
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 64, 2, 0.8, 0.95
+CONTEXT, GENERALISE, REMOVE = 10, 0.8, 0.95
+#: Code points of a text that are replaced at once.
+PIECE = 4096
 
 # The patterns, with a cheap text that any match contains.
 LOCAL = "A-Za-z0-9._%+-"
@@ -49,19 +59,18 @@ TERM = r"\p{L}{2,}+"
 NOT_TERM = r"[^\p{L}]+"
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
-    """array of struct(kind, start, end, value): the matches of a pattern, in code points."""
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    # what lies between the matches is one longer than the matches: the last pair has no match
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+TERM_KIND = len(KINDS)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, evaluated once: as a lambda's variable the optimizer can't copy it into loops."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+def located(text: Column, pattern: str, made: Callable[[Column, Column, Column], Column]) -> Column:
+    """What made gives for each match of a pattern: the code points between it and the match before, its own, its value."""
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    return bound(found, lambda x: F.transform(x["values"], lambda v, i: made(F.length(F.get(x["gaps"], i)), F.length(v), v)))
 
 
 def digits(x: Column) -> Column:
@@ -83,54 +92,57 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _passes(kind: str) -> Callable[[Column], Column]:
-    return lambda s: valid(kind, s["value"])
+def _item(kind: int, gap: Column, size: Column, ok: Column, h: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), gap.alias("gap"), size.alias("size"), ok.alias("ok"), h.alias("h"))
 
 
-def _is_kind(kind: str) -> Callable[[Column], Column]:
-    return lambda s: s["kind"] == kind
+def _none() -> Column:
+    return F.array().cast("array<struct<kind:int,gap:int,size:int,ok:boolean,h:bigint>>")
 
 
-def base_spans(text: Column) -> Column:
-    """All base entities of a text, by kind as listed and then by start."""
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    parts = []
-    for kind, (pattern, mark) in PATTERNS.items():
-        has = text.rlike(pattern)
-        if mark:
-            has = F.contains(text, F.lit(mark)) & has
-        found = F.filter(located(text, pattern, kind), _passes(kind))
-        parts.append(F.when(has, found).otherwise(empty))
-    return F.concat(*parts)
+def _has(text: Column, kind: str) -> Column:
+    pattern, mark = PATTERNS[kind]
+    return F.contains(text, F.lit(mark)) & text.rlike(pattern) if mark else text.rlike(pattern)
 
 
-def _contexts(text: Column, spans: Column, width: int) -> Column:
-    """array of struct(c, t, start, end): the whole words within width characters of each entity."""
+def _entities(text: Column) -> Column:
+    """Items of all matches, those that fail too (their lengths count): h is a hash of the entity."""
 
-    def near(s: Column) -> Column:
-        lo, hi = F.greatest(s["start"] - width, F.lit(0)), F.least(s["end"] + width, F.length(text))
-        entity = F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(digits(s["value"])))
+    def of(no: int, kind: str) -> Column:
+        same = {"email": F.lower, "ip": lambda v: v}.get(kind, digits)
+        return F.when(_has(text, kind), located(text, PATTERNS[kind][0], lambda g, n, v: _item(no, g, n, valid(kind, v), F.xxhash64(F.lit(kind), same(v))))).otherwise(_none())
 
-        def side(a: Column, b: Column, cut_left: Column, cut_right: Column) -> Column:
-            piece = F.substring(text, a + 1, b - a)
-            words = F.filter(located(piece, TERM, "term"), lambda w: ((w["start"] > 0) | ~cut_left) & ((w["end"] < b - a) | ~cut_right))
-            return F.transform(words, lambda w: F.struct(entity.alias("c"), F.xxhash64(F.lower(w["value"])).alias("t"), (w["start"] + a).alias("start"), (w["end"] + a).alias("end")))
+    return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
-        none = F.array().cast("array<struct<c:bigint,t:bigint,start:int,end:int>>")
-        left = F.when(s["start"] > lo, side(lo, s["start"], lo > 0, F.lit(False))).otherwise(none)
-        right = F.when(hi > s["end"], side(s["end"], hi, F.lit(False), hi < F.length(text))).otherwise(none)
-        return F.concat(left, right)
 
-    every = F.flatten(F.transform(spans, near))
-    return F.filter(every, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+def _words(text: Column) -> Column:
+    return located(text, TERM, lambda g, n, v: _item(TERM_KIND, g, n, F.lit(True), F.xxhash64(F.lower(v))))
 
 
-def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT) -> DataFrame:
-    """doc_id, key, base, near: base entities of each document and the words around them."""
+def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, items: the matches of each document and, if there are any, its words, as lengths."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    src = src.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text", base_spans(F.col("text")).alias("base"))
-    none = F.array().cast("array<struct<c:bigint,t:bigint,start:int,end:int>>")
-    return src.select("doc_id", "key", "base", F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"), context)).otherwise(none).alias("near"))
+    items = bound(_entities(F.col("text")), lambda e: F.when(F.size(e) > 0, F.concat(e, _words(F.col("text")))).otherwise(e))
+    return src.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), items.alias("items"))
+
+
+def placed(found: DataFrame, *, context: int = CONTEXT) -> DataFrame:
+    """key, copies, kind, start, end, h, near: entities and clear words of each different document with a match.
+
+    near: for a word, the entities within ``context`` words and entities of it.
+    """
+    once = found.where(F.size("items") > 0).groupBy("key").agg(F.first("items").alias("items"), F.count("*").alias("copies"))
+    rows = once.select("key", "copies", F.posexplode("items").alias("n", "x")).select("key", "copies", "n", "x.kind", "x.gap", "x.size", "x.ok", "x.h")
+    so_far = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end", so_far.cast("int")).withColumn("start", F.col("end") - F.col("size")).where("ok")
+    word = F.col("kind") == TERM_KIND
+    # an entity that begins before a word's end and ends after its begin touches the word
+    order = Window.partitionBy("key").orderBy("at", F.col("kind").desc(), "n")
+    rows = rows.withColumn("at", F.when(word, F.col("end")).otherwise(F.col("start")))
+    reach = F.max(F.when(~word, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("reach", reach).where(~word | F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))
+    near = F.collect_list(F.when(~word, F.col("h"))).over(order.rowsBetween(-context, context))
+    return rows.select("key", "copies", "kind", "start", "end", "h", F.when(word, F.array_distinct(near)).alias("near"))
 
 
 def term_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -139,60 +151,98 @@ def term_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(words).alias("w")).where(F.length("w") >= 2).select(F.xxhash64("w").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """c, t, disclosure: the terms that reveal an entity beyond the threshold."""
-    n = found.count()
-    pairs = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["c"].alias("c"), w["t"].alias("t"))))).alias("p")).select("p.c", "p.t")
-    joint = pairs.groupBy("c", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    each = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda w: w["c"]))).alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
-    known = joint.join(term_documents(docs, text_col=text_col), "t").join(each, "c").where(F.col("n_c") < n)
+def disclosing(pairs: DataFrame, rows: DataFrame, terms: DataFrame, n: int, *, generalise: float = GENERALISE) -> DataFrame:
+    """c, t, disclosure: the terms that reveal an entity by ``generalise`` at least.
+
+    pairs: key, copies, c, t, each once; rows: what ``placed`` found; terms: t, n_t;
+    n: the documents of the corpus.
+    """
+    joint = pairs.groupBy("c", "t").agg(F.sum("copies").alias("n_ct"))
+    each = rows.where(F.col("kind") < TERM_KIND).select("key", "copies", F.col("h").alias("c")).distinct().groupBy("c").agg(F.sum("copies").alias("n_c"))
+    known = joint.join(terms, "t").join(each, "c").where(F.col("n_c") < n)
     pmi = F.log2(F.lit(float(n)) * F.col("n_ct") / F.col("n_c") / F.col("n_t"))
     out = known.withColumn("disclosure", pmi / F.log2(F.lit(float(n)) / F.col("n_c")))
     return out.where(F.col("disclosure") >= generalise).select("c", "t", "disclosure")
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """One row for each document: doc_id, key, base and terms (start, end, disclosure)."""
-    found = spool(find_base(docs, id_col=id_col, text_col=text_col, context=context))
-    told = disclosing(found, docs, text_col=text_col, support=support, generalise=generalise)
-    near = found.where(F.size("near") > 0).select("key", F.explode("near").alias("w")).select("key", "w.c", "w.t", "w.start", "w.end").distinct()
-    hit = near.join(told, ["c", "t"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = hit.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    return found.join(terms, "key", "left").select("doc_id", "key", "base", F.coalesce("terms", none).alias("terms"))
+def located_spans(docs: DataFrame, found: DataFrame, *, text_col: str = "text", context: int = CONTEXT, generalise: float = GENERALISE) -> DataFrame:
+    """key, kind, start, end, disclosure: the spans of each different document, terms under TERM_KIND."""
+    rows = spool(placed(found, context=context))
+    words = rows.where(F.col("kind") == TERM_KIND)
+    pairs = spool(words.where(F.size("near") > 0).select("key", "copies", F.explode("near").alias("c"), F.col("h").alias("t")).distinct())
+    told = disclosing(pairs, rows, term_documents(docs, text_col=text_col), found.count(), generalise=generalise)
+    hit = pairs.join(told, ["c", "t"]).groupBy("key", F.col("t").alias("h")).agg(F.max("disclosure").alias("disclosure"))
+    terms = words.join(hit, ["key", "h"]).select("key", "kind", "start", "end", "disclosure")
+    base = rows.where(F.col("kind") < TERM_KIND).select("key", "kind", "start", "end", F.lit(None).cast("double").alias("disclosure"))
+    return base.unionByName(terms)
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each document: doc_id, key and spans (kind, start, end, disclosure), by kind and then by start."""
+    found = spool(find_base(docs, id_col=id_col, text_col=text_col))
+    each = located_spans(docs, found, text_col=text_col, **options).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "disclosure"))).alias("spans"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,disclosure:double>>")
+    return found.select("doc_id", "key").join(each, "key", "left").select("doc_id", "key", F.coalesce("spans", none).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
-    return found.select("doc_id", *counts, F.sha2(F.array_join(listed(F.col("base")), ","), 256).alias("base_sha256"), F.array_join(F.concat(listed(F.col("base")), terms), ",").alias("spans"))
+    def of(no: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == no)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] < TERM_KIND)
+    return found.select("doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _marks(spans: DataFrame, remove: float) -> DataFrame:
+    """key, marks: for each PIECE code points of a document, by number, what is to be replaced there, in order.
+
+    Spans that overlap are replaced as one, by the first one's mark.
+    """
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    mark = F.when(F.col("kind") < TERM_KIND, F.get(names, F.col("kind"))).when(F.col("disclosure") >= remove, "").otherwise("<TERM>")
+    rows = spans.select("key", "start", "end", mark.alias("mark"))
+    order = Window.partitionBy("key").orderBy("start", "end", "mark")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", (F.col("start") >= F.coalesce(before, F.lit(0))).cast("int"))
+    rows = rows.withColumn("group", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = rows.groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("mark", F.struct("start", "end", "mark")).alias("mark"))
+    first, last = F.floor(F.col("start") / PIECE).cast("int"), F.floor((F.col("end") - 1) / PIECE).cast("int")
+    cut = whole.select("key", "start", "end", "mark", first.alias("first"), F.explode(F.sequence(first, last)).alias("piece"))
+    lo = F.greatest(F.col("start") - F.col("piece") * PIECE, F.lit(0))
+    hi = F.least(F.col("end") - F.col("piece") * PIECE, F.lit(PIECE))
+    one = F.struct(lo.alias("start"), hi.alias("end"), F.when(F.col("piece") == F.col("first"), F.col("mark")).otherwise("").alias("mark"))
+    pieces = cut.groupBy("key", "piece").agg(F.sort_array(F.collect_list(one)).alias("marks"))
+    return pieces.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("piece", "marks"))).alias("marks"))
+
+
+def _replaced(text: Column, marks: Column) -> Column:
+    def one(piece: Column, mine: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(piece, acc["at"] + 1, s["start"] - acc["at"]), s["mark"]).alias("out"))
+
+        return F.aggregate(mine, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(piece, acc["at"] + 1, F.lit(PIECE))))
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p, i: F.coalesce(one(p, F.try_element_at(marks, i)), p)), "")
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **options) -> DataFrame:
     """docs with entities replaced by their kind, and disclosing terms generalised or removed.
 
-    Spans that overlap are replaced as one, by the first one's mark.
+    Documents without any match pass as they are; the others meet their marks by a join.
     """
-    found = find(docs, id_col=id_col, text_col=text_col, **options)
-    marks = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("mark"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosure"] >= remove, F.lit("")).otherwise(F.lit("<TERM>")).alias("mark"))),
-    )
-    found = found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("key").alias("__mr_found"), F.sort_array(marks).alias("__mr_marks")).dropDuplicates(["__mr_found"])
-    key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = docs.withColumn("__mr_key", key).join(found, F.col("__mr_key") == F.col("__mr_found"), "left")
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    new = F.when(F.col("__mr_marks").isNull(), text).otherwise(F.aggregate("__mr_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    found = spool(find_base(docs, id_col=id_col, text_col=text_col))
+    marks = _marks(located_spans(docs, found, text_col=text_col, **options), remove).select(F.col("key").alias("__mr_found"), F.col("marks").alias("__mr_marks"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    may = functools.reduce(lambda a, b: a | b, [_has(text, k) for k in KINDS])
+    plain = docs.where(~may)
+    rows = docs.where(may).withColumn("__mr_key", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text)))
+    joined = rows.join(marks, F.col("__mr_key") == F.col("__mr_found"), "left")
+    new = F.when(F.col("__mr_marks").isNull(), F.col(text_col)).otherwise(_replaced(F.col(text_col), F.col("__mr_marks")))
+    return plain.unionByName(joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
