@@ -26,7 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, numbered, spool, text_hash
@@ -50,17 +50,20 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _passages(lines: Column) -> Column:
-    """array of struct(pos, level, body): lines of one level that follow each other, joined."""
-    none = F.array().cast("array<struct<pos:int,level:int,body:string>>")
+    """array of struct(pos, level, body): lines of one level that follow each other, joined.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["pos"].alias("pos"), last["level"].alias("level"), F.concat_ws("\n", last["body"], x["body"]).alias("body"))
-        more = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))
-        fresh = F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), x["level"].alias("level"), x["body"].alias("body"))))
-        return F.when(F.size(acc) == 0, fresh).when(last["level"] == x["level"], more).otherwise(fresh)
+    The places where the level changes come first; each passage is then cut out once.
+    """
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    heads = F.filter(at, lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+
+    def passage(heads: Column, i: Column, j: Column) -> Column:
+        size = F.coalesce(F.get(heads, j + 1), F.size(lines)) - i
+        body = F.array_join(F.transform(F.slice(lines, i + 1, size), lambda x: x["body"]), "\n")
+        return F.struct(i.alias("pos"), F.get(lines, i)["level"].alias("level"), body.alias("body"))
 
-    return F.aggregate(lines, none, step)
+    # as a lambda's variable heads is evaluated once
+    return F.element_at(F.transform(F.array(heads), lambda h: F.transform(h, lambda i, j: passage(h, i, j))), 1)
 
 
 def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", follow_turns: bool = True) -> DataFrame:
@@ -89,9 +92,14 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     linked = linked.withColumn("origin", F.when(F.col("elsewhere"), F.col("first")).otherwise(F.col("here"))).where(F.col("origin") < F.col("at"))
     found = linked.groupBy("id").agg(F.min(F.struct("level", "part", "elsewhere", "short", "pos", "origin")).alias("best"), F.count_distinct("pos").alias("n_linked")).select("id", F.col("best.origin").alias("quoted_from"), "n_linked")
 
-    before = F.lag("at").over(Window.partitionBy("conv_id").orderBy("at")) if follow_turns else F.lit(None).cast(p.schema["at"].dataType)
-    known = p.where("at is not null").select("id", before.alias("previous"))
-    tree = p.join(found, "id", "left").join(known, "id", "left").withColumn("parent", F.coalesce("quoted_from", "previous"))
+    tree = p.join(found, "id", "left")
+    if follow_turns:  # a conversation of any length is numbered over many tasks, and met with itself by number
+        turns = spool(numbered(p.where("at is not null").select("conv_id", "at", "id"), "conv_id", ["at"], "n"))
+        previous = turns.select("conv_id", (F.col("n") + 1).alias("n"), F.col("at").alias("previous"))
+        tree = tree.join(turns.join(previous, ["conv_id", "n"]).select("id", "previous"), "id", "left")
+    else:
+        tree = tree.withColumn("previous", F.lit(None).cast(p.schema["at"].dataType))
+    tree = tree.withColumn("parent", F.coalesce("quoted_from", "previous"))
     tree = spool(tree.select("id", "at", "conv_id", "turn", "role", "own", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent"))
     out = tree.join(_places(tree), "id")
     return out.select(

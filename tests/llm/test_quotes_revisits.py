@@ -1,7 +1,10 @@
 import random
+import re
+import time
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import queries, quotes, revisits
@@ -27,6 +30,88 @@ def test_quotes_are_linked_and_removed(spark):
     assert [rows[k].depth for _, k in thread] == [0, 1, 2, 1]
 
 
+def brute_links(messages):
+    """Parent, thread, position, depth, quotes and links of each (conversation, turn)."""
+    def normal(t):
+        return re.sub(r"\s+", " ", t.lower()).strip(" ")
+
+    units, asked, order = {}, {}, sorted((c, t) for c, t, _ in messages)
+    for c, t, text in messages:
+        lines = []
+        for x in re.split("\r?\n", text):
+            mark = re.match(r"(?:[ \t]*>)+[ \t]?", x)
+            lines.append((mark[0].count(">") if mark else 0, x[mark.end() :] if mark else x))
+        own = "\n".join(b for n, b in lines if not n)
+        units[c, t] = {normal(u) for u in [own, *re.split(r"\n[ \t]*\n", own), *own.split("\n")]} - {""}
+        asked[c, t], i = [], 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and lines[j][0] == lines[i][0]:
+                j += 1
+            body = [b for _, b in lines[i:j]]
+            if lines[i][0] and "\n".join(body).strip(" "):
+                whole = normal("\n".join(body))
+                asked[c, t].append((i, lines[i][0], [(0, whole), *((1, u) for u in {normal(b) for b in body} - {"", whole})]))
+            i = j
+    out, kids = {}, {}
+    for at in order:
+        best, linked = [], set()
+        for pos, level, us in asked[at]:
+            for part, u in us:
+                here = [x for x in order if x[0] == at[0] and u in units[x]][:1]
+                first = [x for x in order if u in units[x]][:1]
+                origin, elsewhere = (here[0], False) if here and here[0] < at else (first[0], True) if first and first[0] < at else (None, True)
+                if origin:
+                    best.append((level, part, elsewhere, -len(u), pos, origin))
+                    linked.add(pos)
+        earlier = [x for x in order if x[0] == at[0] and x < at]
+        parent = min(best)[-1] if best else earlier[-1] if earlier else None
+        out[at] = [parent, len(asked[at]), len(linked)]
+        kids.setdefault(parent, []).append(at)
+    for root in kids[None]:
+        todo, n = [(root, 0)], 0
+        while todo:
+            at, depth = todo.pop()
+            n += 1
+            out[at] += [root, n, depth]
+            todo += [(k, depth + 1) for k in reversed(kids.get(at, []))]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_threads_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    lines = [f"{rnd.choice('Hi Hello Well Thanks'.split())} {rnd.choice('abcdefgh')}{rnd.choice(['', '  again', ' B'])}" for _ in range(25)]
+    messages = []
+    for c in range(7):
+        for t in range(rnd.randint(1, 9)):
+            text = []
+            for _ in range(rnd.randint(0, 6)):
+                if messages and rnd.random() < 0.5:
+                    mark = rnd.choice(["> ", ">", ">> ", "> > ", " >"])
+                    said = rnd.choice(messages)[2].split("\n")
+                    i = rnd.randrange(len(said))
+                    text += [mark + x for x in said[i : i + rnd.randint(1, 4)]]
+                else:
+                    text.append(rnd.choice([*lines, "", " \t"]))
+            messages.append((c, t, rnd.choice(["\n", "\r\n"]).join(text).replace("\r", "") if rnd.random() < 0.8 else "\r\n".join(text)))
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in messages], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn): [None if r.parent_turn is None else (r.parent_conv_id, r.parent_turn), r.n_quotes, r.n_linked, (r.thread_conv_id, r.thread_turn), r.position, r.depth] for r in quotes.link(df).collect()}
+    assert got == brute_links(messages)
+
+
+def test_a_very_long_message(spark):
+    """200,000 lines whose level changes at every other one."""
+    n = 200_000
+    text = "\n".join(f"{'> ' * (i % 4 // 2)}line {i}" for i in range(n))
+    df = spark.createDataFrame([(1, 0, "u", text), (1, 1, "a", "> line 0\nyes")], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r.turn: r for r in quotes.link(df).collect()}
+    assert time.time() - began < 60
+    assert got[0].n_quotes == n // 4 and got[0].n_linked == 0 and got[1].parent_turn == 0 and got[1].n_linked == 1
+    assert got[0].clean_text.count("\n") == n // 2 - 1
+
+
 def test_messages_without_quotes_follow_their_turns(spark, sf_dir):
     rows = queries.op2_quotation_linking(spark, sf_dir).collect()
     known = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
