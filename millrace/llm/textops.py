@@ -114,6 +114,19 @@ def gram_hashes(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return x, at
 
 
+def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a chunk's texts and the row of each; bytes that aren't UTF-8 become U+FFFD."""
+    n = len(off) - 1
+    cp = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    lead = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    count = np.diff(lead[off])
+    if len(cp) != count.sum():  # decode text by text
+        parts = [np.frombuffer(buf[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(off, off[1:], strict=False)]
+        count = np.array([len(p) for p in parts], np.int64)
+        cp = np.concatenate(parts) if parts else cp
+    return cp, np.repeat(np.arange(n), count)
+
+
 def char_lengths(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Code points before each byte, one longer than the bytes."""
     out = np.zeros(len(buf) + 1, np.int64)
