@@ -1,8 +1,10 @@
 """Mixing sources to target weights, in blocks of a fixed number of words.
 
 Each source's documents, in the order of their ids, are one stream of words that
-is cut into blocks of ``block_words``; only a source's last block is shorter.  A
-mix has ``shards`` output shards.  For every shard a multinomial draw says how
+is cut into blocks of one length, ``block_words``, or in a source of fewer than ``FEW``
+such blocks the FEW-th part of its words (one word at least), so that rounding to blocks
+moves no source by more than half of such a part; only a source's last block is shorter.
+A mix has ``shards`` output shards.  For every shard a multinomial draw says how
 many slots each source gets, with probabilities in proportion to what the source
 is still to give, so the sum over shards meets the source's target.  A source's
 n-th slot maps through a pseudorandom permutation of the source's block indices
@@ -12,7 +14,9 @@ that index.  No block is used more than three times, as targets stop there.
 The running offset of a document in its source comes from one range sort of
 (source, id, size) rows and a sum for each partition and source, so a source of
 any size is spread over tasks.  What reaches the driver is a row for each source,
-and for each pair of partition and source that meet (partitions + sources).
+and for each pair of partition and source that meet (partitions + sources); joins back to
+these rows are broadcast only where Spark finds them small.  The draws are made again by
+every task that lays out slots, from the sources' numbers of slots.
 
 Defined cases: null text has size 0 and gives nothing; a null source is a source
 of its own, the last; null ids come last within their source; repeated rows are
@@ -27,13 +31,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import prepare, spool, text_hash
 
-BLOCK_WORDS, SHARDS, MOST, SEED = 128, 256, 3, 20240
+BLOCK_WORDS, FEW, SHARDS, MOST, SEED = 128, 256, 256, 3, 20240
+#: Slots that a task lays out, about.
+TASK_SLOTS = 1 << 18
 
 
 def sizes(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -89,13 +95,12 @@ class Mix:
     sources: list[dict]
     rows: DataFrame
     slots: DataFrame
-    block_words: int
 
     def pieces(self) -> DataFrame:
         """row, source_no, block, at (first word within the document), n: a document's part in each block."""
-        w = self.block_words
-        first, last = F.floor(F.col("start") / w), F.floor((F.col("start") + F.col("size") - 1) / w)
-        p = self.rows.where("size > 0").select("row", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        w = F.col("width")
+        first, last = F.expr("start div width"), F.expr("(start + size - 1) div width")
+        p = self.rows.where("size > 0").select("row", "source_no", "start", "size", "width", F.explode(F.sequence(first, last)).alias("block"))
         at = F.greatest(F.col("block") * w - F.col("start"), F.lit(0))
         return p.select("row", "source_no", "block", at.alias("at"), (F.least((F.col("block") + 1) * w - F.col("start"), "size") - at).alias("n"))
 
@@ -149,38 +154,51 @@ def plan(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shards: int = SHARD
     number, base, size = {s: i for i, s in enumerate(names)}, [], [0] * len(names)
     for r in sorted(sums, key=lambda r: (number[r.source], r.pid)):
         i = number[r.source]
-        base.append((r.source, r.pid, i, size[i]))
+        base.append([r.source, r.pid, i, size[i]])
         size[i] += r["size"]
     goal = targets(size, weights)
-    blocks = [-(-s // block_words) for s in size]
+    width = [min(block_words, max(1, s // FEW)) for s in size]
+    blocks = [-(-s // w) for s, w in zip(size, width, strict=True)]
     n_slots = [min(MOST * b, round(t * b / s)) if s else 0 for s, t, b in zip(size, goal, blocks, strict=True)]
-    sources = [{"source": s, "source_no": i, "size": size[i], "target": goal[i], "blocks": blocks[i], "slots": n_slots[i]} for i, s in enumerate(names)]
-    bases = spark.createDataFrame(base, "b_source string, b_pid int, source_no int, base long")
-    rows = placed.join(F.broadcast(bases), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("pid") == F.col("b_pid")))
-    rows = rows.select("row", "doc_id", "source", "th", "source_no", "size", (F.col("local") + F.col("base")).alias("start"))
-    return Mix(sources, rows, _slots(spark, draw(n_slots, shards, seed), blocks, seed), block_words)
+    sources = [{"source": s, "source_no": i, "size": size[i], "target": goal[i], "width": width[i], "blocks": blocks[i], "slots": n_slots[i]} for i, s in enumerate(names)]
+    bases = spark.createDataFrame([(*b, width[b[2]]) for b in base], "b_source string, b_pid int, source_no int, base long, width long")
+    rows = placed.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("pid") == F.col("b_pid")))
+    rows = rows.select("row", "doc_id", "source", "th", "source_no", "size", "width", (F.col("local") + F.col("base")).alias("start"))
+    return Mix(sources, rows, _slots(spark, n_slots, blocks, shards, seed))
 
 
-def _slots(spark, counts: np.ndarray, blocks: list[int], seed: int) -> DataFrame:
-    """shard, position, source_no, slot, block: one row for each slot of the mix."""
-    before = np.cumsum(counts, axis=0) - counts
-    within = np.cumsum(counts, axis=1) - counts
-    cells = [(int(i), int(j), int(blocks[j]), int(counts[i].sum()), int(before[i, j]), int(within[i, j]), int(counts[i, j])) for i, j in zip(*np.nonzero(counts), strict=True)]
-    df = spark.createDataFrame(cells, "shard int, source_no int, n_blocks long, n_shard long, first long, within long, n long")
-    df = df.repartition(max(1, min(len(cells), spark.sparkContext.defaultParallelism)))
+def _slots(spark, n_slots: list[int], blocks: list[int], shards: int, seed: int) -> DataFrame:
+    """shard, position, source_no, slot, block: one row for each slot of the mix.
+
+    A shard's slots are laid out in parts of TASK_SLOTS, so tasks are as many as the mix needs.
+    """
+    total = sum(n_slots)
+    parts = max(1, -(-total // (shards * TASK_SLOTS)))  # of each shard
+    tasks = min(shards * parts, max(spark.sparkContext.defaultParallelism, total // TASK_SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = draw(n_slots, shards, seed)
+        before = np.cumsum(counts, axis=0) - counts
+        within = np.cumsum(counts, axis=1) - counts
+        size = counts.sum(axis=1)
         for batch in batches:
-            for c in batch.to_pylist():
-                for lo in range(0, c["n"], 1 << 18):
-                    k = np.arange(lo, min(lo + (1 << 18), c["n"]))
-                    slot, full = c["first"] + k, np.full(len(k), 1)
-                    key = seed + 7919 * (c["source_no"] + 1) + 104729 * (slot // c["n_blocks"])
-                    block = permute(slot % c["n_blocks"], full * c["n_blocks"], key)
-                    position = permute(c["within"] + k, full * c["n_shard"], full * (seed + 15485863 * (c["shard"] + 1)))
-                    yield pa.record_batch([pa.array(full.astype(np.int32) * c["shard"]), pa.array(position), pa.array(full.astype(np.int32) * c["source_no"]), pa.array(slot), pa.array(block)], names=["shard", "position", "source_no", "slot", "block"])
-
-    return df.mapInArrow(run, "shard int, position long, source_no int, slot long, block long")
+            for x in batch.column(0).to_pylist():
+                shard, part = divmod(x, parts)
+                for j in np.flatnonzero(counts[shard]).tolist():
+                    n, begin = int(counts[shard, j]), int(within[shard, j])
+                    # the part's share of the shard's slots that are this source's
+                    lo = max(0, part * int(size[shard]) // parts - begin)
+                    hi = min(n, (part + 1) * int(size[shard]) // parts - begin)
+                    if lo >= hi:
+                        continue
+                    k = np.arange(lo, hi)
+                    slot, full = int(before[shard, j]) + k, np.full(len(k), 1)
+                    key = seed + 7919 * (j + 1) + 104729 * (slot // blocks[j])
+                    block = permute(slot % blocks[j], full * blocks[j], key)
+                    position = permute(begin + k, full * int(size[shard]), full * (seed + 15485863 * (shard + 1)))
+                    yield pa.record_batch([pa.array(full.astype(np.int32) * shard), pa.array(position), pa.array(full.astype(np.int32) * j), pa.array(slot), pa.array(block)], names=["shard", "position", "source_no", "slot", "block"])
+
+    return spark.range(0, shards * parts, 1, max(1, tasks)).mapInArrow(run, "shard int, position long, source_no int, slot long, block long")
 
 
 def mixed_blocks(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -191,13 +209,11 @@ def mixed_blocks(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "
     """
     mix = plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
     key = F.xxhash64("doc_id", "source", "th")
-    # equal rows follow each other in their source: the first one's start says where each begins
-    starts = mix.rows.where("size > 0").groupBy(key.alias("key")).agg(F.min("start").alias("start"), F.first("size").alias("size"), F.first("source_no").alias("source_no"))
+    # each different text once; rows that repeat it are on the other side of a join, which can be split
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    src = src.select(key.alias("key"), "doc_id", "text")
-    again = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
-    placed = src.join(starts, "key").withColumn("start", F.col("start") + again * F.col("size")).select("doc_id", "source_no", "start", "text")
-    width = mix.block_words
+    texts = src.groupBy(key.alias("key")).agg(F.first("text", ignorenulls=True).alias("text"))
+    places = mix.rows.where("size > 0").select(key.alias("key"), "doc_id", "source_no", "width", "start")
+    placed = places.join(texts, "key").select("doc_id", "source_no", "width", "start", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +222,7 @@ def mixed_blocks(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "
                 n = np.bincount(w.row, minlength=len(off) - 1)
                 lead = np.cumsum(n) - n
                 offset = T.column(part, "start").to_numpy()[w.row] + np.arange(len(w)) - lead[w.row]
-                block = offset // width
+                block = offset // T.column(part, "width").to_numpy()[w.row]
                 new = np.ones(len(w), bool)
                 new[1:] = (w.row[1:] != w.row[:-1]) | (block[1:] != block[:-1])
                 a = np.flatnonzero(new)
@@ -219,7 +235,7 @@ def mixed_blocks(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "
     pieces = placed.mapInArrow(cut, "source_no int, block long, at long, doc_id long, n long, text string")
     whole = pieces.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "n", "text"))).alias("p"))
     names = docs.sparkSession.createDataFrame([(s["source_no"], s["source"]) for s in mix.sources], "source_no int, source string")
-    out = mix.slots.join(whole.hint("merge"), ["source_no", "block"]).join(F.broadcast(names), "source_no")  # a row for each source
+    out = mix.slots.join(whole.hint("merge"), ["source_no", "block"]).join(names, "source_no")
     total = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return out.select("shard", "position", "source", "block", F.col("p.doc_id").alias("doc_ids"), total.alias("n_words"), F.array_join("p.text", "\n").alias("text"))
 
@@ -228,4 +244,4 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     mix = plan(docs, **options)
     per = docs.sparkSession.createDataFrame([(s["source_no"], s["size"], s["target"]) for s in mix.sources], "source_no int, source_size long, target double")
-    return mix.taken().join(F.broadcast(per), "source_no").select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix.taken().join(per, "source_no").select("doc_id", "size", "source_size", "target", "taken", "source")
