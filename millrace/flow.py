@@ -56,6 +56,8 @@ class Flow:
 
     def __init__(self, df: DataFrame, node: Node):
         self.df, self.node = df, node
+        #: of a flow that Python conditions made: what they were asked of, and they
+        self._asked: tuple[DataFrame, tuple[Callable[[Any], bool], ...]] = (df, ())
 
     @classmethod
     def source(cls, df: DataFrame) -> Flow:
@@ -104,14 +106,20 @@ class Flow:
         return int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     # Python closures
+    # conditions and the function after them run in one pass
     def map_py(self, f: Callable[[Any], Any], schema: str | T.StructType) -> Flow:
-        return self._next(operators.map_rows(self.df, f, schema))
+        df, only = self._asked
+        return self._next(operators.map_rows(df, f, schema, only=only))
 
     def filter_py(self, f: Callable[[Any], bool]) -> Flow:
-        return self._next(operators.filter_rows(self.df, f))
+        df, only = self._asked
+        flow = self._next(operators.filter_rows(df, *only, f))
+        flow._asked = (df, (*only, f))
+        return flow
 
     def flat_map_py(self, f: Callable[[Any], Iterable[Any]], schema: str | T.StructType) -> Flow:
-        return self._next(operators.flat_map_rows(self.df, f, schema))
+        df, only = self._asked
+        return self._next(operators.flat_map_rows(df, f, schema, only=only))
 
     # keys
     def key_by(self, f: Callable[[Row], tuple[Column, Column]]) -> KeyedFlow:
@@ -139,8 +147,9 @@ class Flow:
     def reduce(self, f: Combiner | Callable[[Column, Column], Column], value: str = "value") -> Any:
         """The fold of a column; an error over no rows.
 
-        A declared combiner is a built-in aggregate; a function of two columns is
-        folded in the order of the partitions and must be associative.
+        A declared combiner is a built-in aggregate, and so is a function of two columns
+        that does what one does; any other is folded in the order of the partitions and must
+        be associative.
         """
         if isinstance(f, Combiner):
             made = f.make(f.on(Row(self.df)) if f.on else F.col(value))

@@ -36,8 +36,11 @@ def _batch(items: list[Any], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def flat_map_rows(df: DataFrame, f: Callable[[Any], Iterable[Any]], schema: str | T.StructType, batch_rows: int = 10_000) -> DataFrame:
-    """Zero or more rows for each row, in order; the inner iterable is never held whole."""
+def flat_map_rows(df: DataFrame, f: Callable[[Any], Iterable[Any]], schema: str | T.StructType, batch_rows: int = 10_000, only: tuple[Callable[[Any], bool], ...] = ()) -> DataFrame:
+    """Zero or more rows for each row, in order; the inner iterable is never held whole.
+
+    only: conditions that a row must meet to come to f, asked in the same pass.
+    """
     prepare(df.sparkSession)
     out = _schema(schema)
     arrow = to_arrow_schema(out)
@@ -46,6 +49,8 @@ def flat_map_rows(df: DataFrame, f: Callable[[Any], Iterable[Any]], schema: str
         held: list[Any] = []
         for batch in batches:
             for item in _items(batch):
+                if not all(p(item) for p in only):
+                    continue
                 for made in f(item):
                     held.append(made)
                     if len(held) == batch_rows:
@@ -57,16 +62,29 @@ def flat_map_rows(df: DataFrame, f: Callable[[Any], Iterable[Any]], schema: str
     return df.mapInArrow(run, out)
 
 
-def map_rows(df: DataFrame, f: Callable[[Any], Any], schema: str | T.StructType) -> DataFrame:
-    return flat_map_rows(df, lambda x: (f(x),), schema)
+def map_rows(df: DataFrame, f: Callable[[Any], Any], schema: str | T.StructType, only: tuple[Callable[[Any], bool], ...] = ()) -> DataFrame:
+    """A row for each row that meets all conditions in only."""
+    prepare(df.sparkSession)
+    out = _schema(schema)
+    arrow = to_arrow_schema(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = _items(batch)
+            for p in only:
+                items = filter(p, items)
+            yield _batch([f(x) for x in items], arrow)
+
+    return df.mapInArrow(run, out)
 
-def filter_rows(df: DataFrame, f: Callable[[Any], bool]) -> DataFrame:
+
+def filter_rows(df: DataFrame, *only: Callable[[Any], bool]) -> DataFrame:
+    """The rows that meet all conditions."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(f(x)) for x in _items(batch)], pa.bool_()))
+            yield batch.filter(pa.array([all(f(x) for f in only) for x in _items(batch)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -93,12 +111,13 @@ def combine_partitions(df: DataFrame, create: Callable, merge_value: Callable, m
                     held = {}
         yield _batch(list(held.items()), arrow)
 
-    def final(table: pa.Table) -> pa.Table:
-        items = table.column(1).to_pylist()
-        total = items[0]
-        for x in items[1:]:
-            total = merge_combiners(total, x)
-        return pa.Table.from_batches([_batch([(table.column(0)[0].as_py(), total)], arrow)])
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = total = None
+        seen = False
+        for batch in batches:
+            for k, x in _items(batch):
+                total, seen = (merge_combiners(total, x), True) if seen else (x, True)
+        yield _batch([(k, total)], arrow)
 
     return df.mapInArrow(partial, out).groupBy(key).applyInArrow(final, out)
 
