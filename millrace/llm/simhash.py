@@ -144,14 +144,16 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """The documents without near-copies: of each component the one with the smallest id.
 
     Rows that share that id (repeated rows, or two texts under one id) are put in
-    the order of their texts' hashes and the first stays, so one row stays of every
-    component; null ids come last.  Columns are those of docs.
+    the order of their texts' hashes, and of a hash of all columns but maps, and the first
+    stays, so one row stays of every component however the rows are dealt out; null ids
+    come last.  Columns are those of docs.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("th").alias("th"))
     first = found.groupBy("root").agg(F.min(order).alias("m"))
     first = first.select(F.xxhash64(F.when(~F.col("m.none"), F.col("m.id")), F.col("m.th")).alias("__mr_first")).distinct()
-    rows = docs.withColumns({"__mr_key": F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col)), "__mr_row": F.monotonically_increasing_id()})
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"__mr_key": F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col)), "__mr_row": F.xxhash64(*hashed)})
     kept = rows.join(first, F.col("__mr_key") == F.col("__mr_first"), "left_semi")
     again = F.row_number().over(Window.partitionBy("__mr_key").orderBy("__mr_row"))
     return kept.withColumn("__mr_again", again).where("__mr_again = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,14 +6,16 @@ similarity s together with probability 1 - (1 - s^ROWS)^BANDS (0.997 at 0.8).
 Every candidate's similarity is computed from the two sets of shingles before it
 is linked, so nothing below ``similarity`` is linked.
 
-Buckets of up to ``max_bucket`` texts are joined with themselves.  A larger one
-gives each text's pair with its least member and is split by FINER further keys,
-of which a text takes every one, twice over; what is still larger then is also
-dealt into parts of about ``max_bucket`` that are joined with themselves.  So the
-pairs are in proportion to the texts, however large a family of near-copies is.
-Pairs whose 256 bits of minima agree in fewer than ``LEAST_BITS`` are not verified
-(at similarity 0.8 that is 4.3 standard deviations below the mean), nor are pairs
-that earlier links already connect.
+Buckets of up to ``max_bucket`` texts are joined with themselves.  In a larger one each
+text is paired with the bucket's most central text, the one that meets most others over
+all its buckets: in a family of near-copies that is what the others were made from, or
+like it.  Texts that this doesn't bring into their centre's component are put together
+again, bucket by bucket, and so on for ``TURNS`` turns; what a large bucket still holds
+apart is dealt into parts of about ``max_bucket`` that are joined with themselves.  So
+the pairs are in proportion to the texts, however large a family of near-copies is.
+Pairs whose 256 bits of minima agree in fewer than ``LEAST_BITS`` are not verified (at
+similarity 0.8 that is 4.3 standard deviations below the mean), nor are pairs that
+earlier turns already connect.
 
 Defined cases: texts without words are all alike; a text of fewer words than a
 shingle is one shingle.
@@ -33,11 +35,10 @@ from .common import connected_components, prepare, spool, text_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
-FINER, FINER_ROWS, LEVELS = 4, 3, 2
 LEAST_BITS = 210
-MAX_BUCKET = 16
+MAX_BUCKET, TURNS = 16, 3
 
-_N = BANDS * ROWS + LEVELS * FINER * FINER_ROWS
+_N = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(11))
 _XOR = _RNG.integers(0, 1 << 64, _N, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,28 +65,23 @@ def shingles(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
     return np.concatenate([g, whole[short]])[order], row[order], whole
 
 
-def signatures(g: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of n texts BANDS keys, LEVELS * FINER keys and 256 bits in four longs."""
+def signatures(g: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n texts BANDS keys, and 256 bits in four longs."""
     least = np.zeros((_N, n), np.uint64)
     if len(g):
         begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         has = row[begin]
         for i in range(_N):
             least[i, has] = np.minimum.reduceat((g ^ _XOR[i]) * _ODD[i], begin)
-
-    def keys(part: np.ndarray, rows: int) -> np.ndarray:
-        out = np.empty((n, len(part) // rows), np.uint64)
-        for j in range(out.shape[1]):
-            x = np.full(n, j + 1, np.uint64)
-            for m in part[j * rows : (j + 1) * rows]:
-                x = T.mix(x * np.uint64(T._P) + m)
-            out[:, j] = x
-        return out.view(np.int64)
-
-    bands = BANDS * ROWS
-    odd = (T.mix(least[:bands]) & np.uint64(1)).astype(np.uint8)
+    keys = np.empty((n, BANDS), np.uint64)
+    for j in range(BANDS):
+        x = np.full(n, j + 1, np.uint64)
+        for m in least[j * ROWS : (j + 1) * ROWS]:
+            x = T.mix(x * np.uint64(T._P) + m)
+        keys[:, j] = x
+    odd = (T.mix(least) & np.uint64(1)).astype(np.uint8)
     bits = np.ascontiguousarray(np.packbits(odd.T, axis=1)[:, : 256 // 8]).view(np.int64)
-    return keys(least[:bands], ROWS), keys(least[bands:], FINER_ROWS), bits
+    return keys.view(np.int64), bits
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -93,7 +89,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def prints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, th, fp (hash of the words), bands, finer and bits of each document."""
+    """doc_id, th, fp (hash of the words), bands and bits of each document."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"))
 
@@ -102,9 +98,9 @@ def prints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
             for part, buf, off in T.chunks(batch):
                 g, row, whole = shingles(buf, off, shingle)
                 cols = [_lists(x) for x in signatures(g, row, len(off) - 1)]
-                yield pa.record_batch([T.column(part, "doc_id"), T.column(part, "th"), pa.array(whole.view(np.int64)), *cols], names=["doc_id", "th", "fp", "bands", "finer", "bits"])
+                yield pa.record_batch([T.column(part, "doc_id"), T.column(part, "th"), pa.array(whole.view(np.int64)), *cols], names=["doc_id", "th", "fp", "bands", "bits"])
 
-    return src.mapInArrow(run, "doc_id long, th long, fp long, bands array<long>, finer array<long>, bits array<long>")
+    return src.mapInArrow(run, "doc_id long, th long, fp long, bands array<long>, bits array<long>")
 
 
 def _within(rows: DataFrame, *on: str) -> DataFrame:
@@ -112,36 +108,33 @@ def _within(rows: DataFrame, *on: str) -> DataFrame:
     return rows.join(other, list(on)).where(F.col("fp") < F.col("b")).select(F.col("fp").alias("a"), "b")
 
 
-def candidates(texts: DataFrame, *, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """a, b, agree: pairs of distinct texts (columns fp, bands, finer, bits) that are worth verifying."""
-    keys, edges = texts.select("fp", F.explode("bands").alias("k")), []
-    for level in range(LEVELS + 1):
-        shared = keys.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-        held = spool(keys.join(shared, "k"))
-        edges.append(_within(held.where(F.col("n") <= max_bucket), "k"))
-        many = held.where(F.col("n") > max_bucket)
-        edges.append(many.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")))
-        if level == LEVELS:
-            part = F.pmod(F.xxhash64("fp", "k"), F.ceil(F.col("n") / max_bucket))
-            edges.append(_within(many.withColumn("part", part), "k", "part"))
-        else:
-            finer = texts.select("fp", F.slice("finer", level * FINER + 1, FINER).alias("f"))
-            keys = many.join(finer, "fp").select("fp", "k", F.explode("f").alias("f")).select("fp", F.xxhash64("k", "f").alias("k"))
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.union(e)
+def buckets(rows: DataFrame) -> DataFrame:
+    """k, fp, weight, n, centre: the rows (k, fp, weight) whose key others share, with their bucket's size and centre."""
+    size = rows.groupBy("k").agg(F.count("*").alias("n"), F.max_by("fp", F.struct("weight", "fp")).alias("centre")).where("n > 1")
+    return spool(rows.join(size, "k"))
+
+
+def candidates(held: DataFrame, texts: DataFrame, *, last: bool, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """a, b: pairs of the texts of each bucket that are worth verifying."""
+    small, many = held.where(F.col("n") <= max_bucket), held.where(F.col("n") > max_bucket)
+    star = many.where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+    every = _within(small, "k").union(star)
+    if last:
+        part = F.pmod(F.xxhash64("fp", "k"), F.ceil(F.col("n") / max_bucket))
+        every = every.union(_within(many.withColumn("part", part), "k", "part"))
 
     def bits(name: str) -> DataFrame:
         return texts.select(F.col("fp").alias(name), F.col("bits").alias(f"bits_{name}"))
 
     both = every.distinct().join(bits("a"), "a").join(bits("b"), "b")
     agree = sum((256 // 4 - F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(4)), F.lit(0))
-    return spool(both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= LEAST_BITS))
+    return both.where(agree >= LEAST_BITS).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """fp, grams: the distinct shingles of the texts whose hash is in wanted (column th)."""
-    texts = docs.select(F.col(text_col).alias("text"), text_hash(text_col).alias("th")).join(wanted, "th", "left_semi").dropDuplicates(["th"]).select("text")
+    once = docs.groupBy(text_hash(text_col).alias("th")).agg(F.first(text_col).alias("text"))  # copies meet before the shuffle
+    texts = once.join(wanted, "th", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,32 +156,36 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(one, "a").join(two, "b").where(is_near).select("a", "b")
 
 
-def links(docs: DataFrame, texts: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Edges a, b between distinct texts (columns fp, th, bands, finer, bits) that connect the near-copies."""
-    left = candidates(texts, max_bucket=max_bucket)
-    ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = spool(shingle_sets(docs, texts.join(ends, "fp", "left_semi").select("th"), text_col=text_col, shingle=shingle))
-    done = None
-    for last in (False, True):
-        if last:
-            now = left
-        else:  # each text's likeliest pair first: large families are connected by few
-            sides = left.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("v"))
-            best = sides.groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x"))
-            now = best.select("x.a", "x.b").distinct()
-        found = spool(verified(now.select("a", "b"), sets, similarity))
-        done = found if done is None else done.union(found)
-        if not last:
-            roots = spool(connected_components(found))
+def links(docs: DataFrame, texts: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET, turns: int = TURNS) -> DataFrame:
+    """Edges a, b between distinct texts (columns fp, th, bands, bits) that connect the near-copies."""
+    keys = texts.select("fp", F.explode("bands").alias("k"))
+    shared = keys.join(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k")
+    met = spool(shared.groupBy("fp").agg(F.sum("n").alias("weight"), F.collect_list("k").alias("ks")))  # BANDS keys at most
+    sets = spool(shingle_sets(docs, texts.join(met, "fp", "left_semi").select("th"), text_col=text_col, shingle=shingle))
+    rows, done, roots = met.select("fp", "weight", F.explode("ks").alias("k")), None, None
+    for turn in range(1, turns + 1):
+        held = buckets(rows)
+        pairs = candidates(held, texts, last=turn == turns, max_bucket=max_bucket)
+        if roots is not None:
             of = [roots.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
             apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-            left = left.join(now.select("a", "b"), ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left").where(apart).select("a", "b", "agree")
-    return done
+            pairs = pairs.join(of[0], "a", "left").join(of[1], "b", "left").where(apart).select("a", "b")
+        found = spool(verified(pairs, sets, similarity))
+        done = found if done is None else done.union(found)
+        if turn == turns:
+            return done
+        many = held.where(F.col("n") > max_bucket)
+        if many.limit(1).count() == 0:  # all buckets were joined in full
+            return done
+        roots = spool(connected_components(done))
+        mine, theirs = roots.select(F.col("v").alias("fp"), F.col("root").alias("own")), roots.select(F.col("v").alias("centre"), F.col("root").alias("head"))
+        apart = F.coalesce("own", "fp") != F.coalesce("head", "centre")
+        rows = many.join(mine, "fp", "left").join(theirs, "centre", "left").where(apart).select("fp", "weight", "k")
 
 
 def components(docs: DataFrame, found: DataFrame, **options) -> DataFrame:
     """fp, root (one text of its component) and component_id (least doc_id there), of what prints() found."""
-    first = [F.first(c).alias(c) for c in ("bands", "finer", "bits")]
+    first = [F.first(c).alias(c) for c in ("bands", "bits")]
     texts = spool(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *first))
     roots = connected_components(links(docs, texts, **options))
     at = texts.join(roots, texts.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
