@@ -20,6 +20,7 @@ from . import operators
 from .errors import EmptyDataset, SchemaMismatch
 from .functions import Collect, Combiner
 from .plans.lineage import Dependency, HashPartitioner, Node, stages_of, walk
+from .plans.profile import action
 
 _ids = count()
 
@@ -133,16 +134,19 @@ class Flow:
     # actions
     def collect(self) -> list[Any]:
         """All rows on the driver: values of a one-column flow, else tuples."""
-        return [_plain(r) for r in self.df.collect()]
+        with action("collect"):
+            return [_plain(r) for r in self.df.collect()]
 
     collect_to_driver = collect
 
     def count(self) -> int:
-        return self.df.count()
+        with action("count"):
+            return self.df.count()
 
     def take(self, n: int) -> list[Any]:
         """The first n rows; 0 starts no job. Partitions are read as far as needed."""
-        return [_plain(r) for r in self.df.take(n)] if n else []
+        with action("take"):
+            return [_plain(r) for r in self.df.take(n)] if n else []
 
     def reduce(self, f: Combiner | Callable[[Column, Column], Column], value: str = "value") -> Any:
         """The fold of a column; an error over no rows.
@@ -153,17 +157,20 @@ class Flow:
         """
         if isinstance(f, Combiner):
             made = f.make(f.on(Row(self.df)) if f.on else F.col(value))
-            n, out = self.df.agg(F.count("*"), made).first()
+            with action("reduce"):
+                n, out = self.df.agg(F.count("*"), made).first()
             if not n:
                 raise EmptyDataset("reduce over no rows")
             return out
-        got = operators.fold_rows(self.df, value, f).collect()
+        with action("reduce"):
+            got = operators.fold_rows(self.df, value, f).collect()
         if not got:
             raise EmptyDataset("reduce over no rows")
         return got[0][0]
 
     def reduce_py(self, f: Callable[[Any, Any], Any]) -> Any:
-        parts = operators.reduce_rows(self.df, f)
+        with action("reduce"):
+            parts = operators.reduce_rows(self.df, f)
         if not parts:
             raise EmptyDataset("reduce over no rows")
         total = parts[0]

@@ -19,6 +19,8 @@ HELP = {
     "network_sent_bytes_total": "Shuffle bytes written.",
     "network_received_bytes_total": "Shuffle bytes read.",
     "spill_written_bytes_total": "Bytes spilled to disk.",
+    "spill_read_bytes_total": "Bytes of spills read back: Spark reads each spilled byte once, to merge it.",
+    "dispatch_disconnects_total": "Executors lost or removed.",
     "shuffle_map_records_total": "Records written to shuffles.",
 }
 
@@ -47,7 +49,10 @@ class Metrics:
             out["network_sent_bytes_total"] += s.shuffleWriteBytes()
             out["network_received_bytes_total"] += s.shuffleReadBytes()
             out["spill_written_bytes_total"] += s.diskBytesSpilled()
+            out["spill_read_bytes_total"] += s.diskBytesSpilled()
             out["shuffle_map_records_total"] += s.shuffleWriteRecords()
+        found = self.spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        out["dispatch_disconnects_total"] = sum(not found.apply(i).isActive() for i in range(found.size()))
         return out
 
     def of_executors(self, metric: str) -> dict[str, int]:
@@ -99,14 +104,20 @@ class MetricsServer:
 
 
 def task_events(event_log: str | Path) -> Iterator[dict]:
-    """task_started and task_finished events of an uncompressed Spark event log, file or folder."""
+    """task_started and task_finished events of an uncompressed Spark event log, file or folder.
+
+    Each names its job, stage, stage attempt, partition, attempt and executor.
+    """
+    jobs: dict[int, int] = {}
     at = Path(event_log)
     for file in sorted(p for p in at.rglob("*") if p.is_file() and not p.name.startswith((".", "appstatus"))) if at.is_dir() else [at]:
         for line in file.open():
             e = json.loads(line)
+            if e["Event"] == "SparkListenerJobStart":
+                jobs |= dict.fromkeys(e["Stage IDs"], e["Job ID"])
             if e["Event"] in ("SparkListenerTaskStart", "SparkListenerTaskEnd"):
                 info = e["Task Info"]
-                out = {"event": "task_started", "stage": e["Stage ID"], "partition": info["Index"], "attempt": info["Attempt"], "at_ms": info["Launch Time"]}
+                out = {"event": "task_started", "job": jobs.get(e["Stage ID"]), "stage": e["Stage ID"], "stage_attempt": e.get("Stage Attempt ID", 0), "partition": info["Index"], "attempt": info["Attempt"], "executor": info.get("Executor ID"), "at_ms": info["Launch Time"]}
                 if e["Event"].endswith("End"):
-                    out |= {"event": "task_finished", "ok": not info["Failed"], "duration_us": 1000 * (info["Finish Time"] - info["Launch Time"])}
+                    out |= {"event": "task_finished", "success": not info["Failed"], "duration_us": 1000 * (info["Finish Time"] - info["Launch Time"])}
                 yield out

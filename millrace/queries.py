@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import Collect, Count, Engine, Flow, HashPartitioner, Max, Min, Sum
 from .functions import hash_bucket
+from .sources import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,12 @@ def _words(spark: SparkSession, sf_dir: str) -> Flow:
     return texts.flat_map(lambda c: F.split(c.text, r"\s+")).filter(lambda c: c.value != "")
 
 
+def _written_lines(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    _read(spark, sf_dir, "documents").df.select("text").write.option("lineSep", "\n").text(path)
+    return path
+
+
 def _one(spark: SparkSession, value: int, name: str) -> DataFrame:
     return spark.range(1).select(F.lit(value).cast("long").alias(name))
 
@@ -190,22 +197,48 @@ def chained_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select unnest(string_split(text, chr(10))) as line from documents")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts are written as lines to the shared folder and read by the text source."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="millrace-")
-    path = f"{shared}/lines-{uuid.uuid4().hex}"
-    _read(spark, sf_dir, "documents").df.select("text").write.option("lineSep", "\n").text(path)
+    path = _written_lines(spark, sf_dir)
     return Engine(spark).read_text_file(path).map(lambda c: {"line": c.value}).df
 
 
+@query("select unnest(string_split(text, chr(10))) as line from documents")
+def text_lines_by_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over 24 splits by bytes."""
+    return Engine(spark).read_text_file(_written_lines(spark, sf_dir), 24).map(lambda c: {"line": c.value}).df
+
+
 @query("select sum(x * 3 - 7)::bigint as s from range(0, 10000) t(x)")
 def parallelize_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = Engine(spark).range(10_000).map(lambda c: c.value * 3 - 7)
+    values = Engine(spark).parallelize(range(10_000)).map(lambda c: c.value * 3 - 7)
     return _one(spark, values.reduce(lambda a, b: a + b), "s")
 
 
+@query("select i as n, 'v' || i as s from range(0, 1000) t(i)")
+def parallelize_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in 7 contiguous parts."""
+    rows = [(i, f"v{i}") for i in range(1000)]
+    return Engine(spark).parallelize(rows, "n bigint, s string", 7).df
+
+
+@query("select sum(x * 5 + 1)::bigint as s from range(0, 100000) t(x)")
+def range_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, Engine(spark).range(100_000).map(lambda c: c.value * 5 + 1).reduce(Sum), "s")
+
+
+@query("select n_nationkey, n_name from nation")
+def collect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a small table to the driver and back."""
+    flow = _read(spark, sf_dir, "nation").map(lambda c: {"n_nationkey": c.n_nationkey, "n_name": c.n_name})
+    return spark.createDataFrame(flow.collect_to_driver(), flow.df.schema)
+
+
+@query("select l_returnflag, max(l_orderkey * 10 + l_linenumber) as m from lineitem group by l_returnflag")
+def reduce_by_key_any_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of columns that no built-in aggregate does, over three hot keys."""
+    flow = _read(spark, sf_dir, "lineitem").key_by(lambda c: (c.l_returnflag, c.l_orderkey * 10 + c.l_linenumber))
+    return flow.reduce_by_key(lambda a, b: F.when(a < b, b).otherwise(a)).map(lambda c: {"l_returnflag": c.key, "m": c.value}).df
+
+
 @query("select event_type as k, count(*) as n, sum(event_id)::bigint as s from events group by event_type")
 def arrow_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python closures: combined in each task, shuffled, combined again."""
@@ -227,11 +260,11 @@ def arrow_flat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.flat_map_py(lambda r: ((r[0], v) for v in r[1].split(" ")), "k long, v string").df
 
 
-@query("select r::int as run, (select count(distinct user_id) from events) as n from range(1, 4) t(r)")
+@query(f"select r::int as run, (select count(distinct word) from ({WORDS})) as n from range(1, 4) t(r)")
 def reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three counts of one shuffled flow."""
-    users = _read(spark, sf_dir, "events").key_by(lambda c: (c.user_id, F.lit(1))).reduce_by_key(Sum)
-    return spark.createDataFrame([(r, users.count()) for r in (1, 2, 3)], "run int, n long")
+    """Three counts of one shuffled flow of word counts, each computed anew."""
+    counts = _words(spark, sf_dir).key_by(lambda c: (c.value, F.lit(1))).reduce_by_key(Sum)
+    return spark.createDataFrame([(r, counts.count()) for r in (1, 2, 3)], "run int, n long")
 
 
 @query("select o_orderkey + 1 as x from orders union all select o_orderkey * 10 from orders")
@@ -259,7 +292,7 @@ def hash_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").map(lambda c: {"event_type": c.event_type, "bucket": hash_bucket(n, c.event_type)}).distinct().df
 
 
-@query()
+@query("select * from (values (0, 'shuffle_map'), (1, 'shuffle_map'), (2, 'shuffle_map'), (3, 'result')) t(stage, kind)")
 def lineage_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of a flow with two shuffles over a diamond."""
     base = _read(spark, sf_dir, "orders").key_by(lambda c: (c.o_custkey, F.lit(1)))

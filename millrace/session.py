@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable
 from typing import Any
 
@@ -30,6 +31,17 @@ def parse_master(master: str) -> int | None:
     return int(found[1])
 
 
+#: Masters of clusters that Spark starts executors on.
+CLUSTER = r"yarn|spark://\S+|k8s://\S+|local-cluster\[\d+,\s*\d+,\s*\d+\]"
+
+
+def spark_master(master: str, attempts: int) -> str:
+    """The master for Spark: a cluster's as it is, a local one with its threads and attempts."""
+    if re.fullmatch(CLUSTER, master.strip()):
+        return master.strip()
+    return f"local[{parse_master(master) or '*'},{attempts}]"
+
+
 class EngineBuilder:
     """Collects settings; a task is tried ``attempts`` times in all, in local mode too."""
 
@@ -57,15 +69,19 @@ class EngineBuilder:
         return self.get_or_create()
 
     def get_or_create(self) -> Engine:
-        n = parse_master(self._master)
-        url = f"local[{n or '*'},{self._attempts}]"
+        """The engine; a session that runs already is used again, with a warning if it was made for another master."""
+        url = spark_master(self._master, self._attempts)
         conf = {
+            "spark.task.maxFailures": str(self._attempts),
             "spark.sql.session.timeZone": "UTC",
             "spark.sql.adaptive.enabled": "true",
             "spark.sql.adaptive.skewJoin.enabled": "true",
             "spark.ui.showConsoleProgress": "false",
         } | self._conf
-        return Engine(SparkSession.builder.master(url).appName(self._name).config(map=conf).getOrCreate())
+        spark = SparkSession.builder.master(url).appName(self._name).config(map=conf).getOrCreate()
+        if spark.sparkContext.master != url:
+            warnings.warn(f"the session that runs has master {spark.sparkContext.master}, not {url}", stacklevel=2)
+        return Engine(spark)
 
 
 class Engine:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 from typing import Any
 
@@ -10,7 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import InvalidParallelism, SourceNotFound
+from ..errors import InvalidParallelism, NoSharedFolder, SourceNotFound
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; on a cluster that would
+    be another folder on every machine, so it is an error.
+    """
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all machines share")
+        there = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", there)
+    return there.rstrip("/")
 
 
 def check_partitions(n: int) -> int:
@@ -54,7 +70,8 @@ def text_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFram
     Lines end at ``\n``; one ``\r`` before it belongs to the end. A lone ``\r``
     stays. The last line needs no end; an empty file has no lines. A missing path
     is an error here and not at the action. Spark's file splits never lose or
-    double a line; n below asks for at least so many partitions.
+    double a line. n asks for about so many splits by bytes, in the order of the file
+    and without a shuffle; small files may give fewer or, at their ends, more.
     """
     try:
         df = spark.read.option("lineSep", "\n").text(path)
@@ -62,10 +79,31 @@ def text_lines(spark: SparkSession, path: str, n: int | None = None) -> DataFram
         if "PATH_NOT_FOUND" in str(e):
             raise SourceNotFound(path) from e
         raise
-    df = df.select(F.regexp_replace("value", r"\r\z", "").alias("value"))
-    if n is not None and check_partitions(n) > df.rdd.getNumPartitions():
-        df = df.repartition(n)
-    return df
+    if n is not None and check_partitions(n):
+        df = _planned(df, n)
+    return df.select(F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
+def _planned(df: DataFrame, n: int) -> DataFrame:
+    """A scan that is planned now, with n splits: Spark takes the wanted number from the session when it plans."""
+    spark = df.sparkSession
+    size = sum(s.getLen() for s in _statuses(spark, df.inputFiles()))
+    wanted = {"spark.sql.files.minPartitionNum": str(n), "spark.sql.files.maxPartitionBytes": str(max(1, -(-size // n))), "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        rows = df._jdf.queryExecution().toRdd()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
+def _statuses(spark: SparkSession, files: list[str]) -> list:
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(f)) for f in files]
+    return [p.getFileSystem(conf).getFileStatus(p) for p in paths]
 
 
 def parquet(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import EmptyDataset, InvalidMaster, InvalidParallelism, Max, SchemaMismatch, SourceNotFound, Sum, parse_master
+from millrace import EmptyDataset, InvalidMaster, InvalidParallelism, Max, NoSharedFolder, SchemaMismatch, SourceNotFound, Sum, TaskFailed, parse_master
+from millrace.session import spark_master
 from millrace.sources import split_points
 
 
@@ -18,23 +19,48 @@ def test_master_grammar():
         parse_master("local[0]")
 
 
+def test_masters_of_clusters():
+    for url in ("yarn", "spark://host:7077", "k8s://https://h:443", "local-cluster[2,1,1024]"):
+        assert spark_master(f" {url} ", 3) == url
+    assert spark_master("local", 4) == "local[1,4]" and spark_master("local[*]", 3) == "local[*,3]"
+    with pytest.raises(InvalidMaster):
+        spark_master("mesos://x", 3)
+
+
+def test_a_session_that_runs_is_used_with_a_warning(engine):
+    from millrace import Engine
+
+    with pytest.warns(UserWarning, match="has master"):
+        assert Engine.builder().master("local[2]").get_or_create().spark is engine.spark
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from millrace.sources import shared_dir
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(NoSharedFolder):
+        shared_dir(spark)
+
+
 def test_split_points():
-    assert split_points(5, 2) == [0, 2, 5]
-    assert split_points(2, 5) == [0, 0, 0, 1, 1, 2]
-    assert split_points(10, 3) == [0, 3, 6, 10]
+    assert split_points(7, 3) == [0, 2, 4, 7]
+    assert split_points(1, 4) == [0, 0, 0, 0, 1]
+    assert split_points(12, 4) == [0, 3, 6, 9, 12]
 
 
 def test_map_then_reduce(engine):
-    flow = engine.parallelize([1, 2, 3, 4, 56]).map(lambda c: c.value * 2)
-    assert flow.reduce(lambda a, b: a + b) == 132
-    assert flow.reduce(Sum) == 132
-    assert flow.reduce(Max) == 112
-    assert flow.reduce_py(lambda a, b: a + b) == 132
+    flow = engine.parallelize([17, -3, 40, 8]).map(lambda c: c.value * 3)
+    assert flow.reduce(lambda a, b: a + b) == 186
+    assert flow.reduce(Sum) == 186
+    assert flow.reduce(Max) == 120
+    assert flow.reduce_py(lambda a, b: a + b) == 186
 
 
 def test_collect_keeps_order(engine):
     assert engine.parallelize(range(20)).collect() == list(range(20))
-    assert engine.parallelize([5, 4, 3, 2, 1], partitions=1).collect() == [5, 4, 3, 2, 1]
+    assert engine.parallelize([9, 2, 7, 4], partitions=1).collect() == [9, 2, 7, 4]
 
 
 def test_contiguous_partitions(engine):
@@ -78,9 +104,9 @@ def test_invalid_partitions(engine):
 
 
 def test_branching(engine):
-    base = engine.parallelize([1, 2, 3, 4])
-    assert base.map(lambda c: c.value + 1).collect() == [2, 3, 4, 5]
-    assert base.map(lambda c: c.value * 10).collect() == [10, 20, 30, 40]
+    base = engine.parallelize([6, 11, 25])
+    assert base.map(lambda c: c.value - 1).collect() == [5, 10, 24]
+    assert base.map(lambda c: c.value * 4).collect() == [24, 44, 100]
 
 
 def test_pipeline_against_python(engine):
@@ -97,8 +123,8 @@ def test_reduce_is_in_partition_order(engine):
 
 
 def test_strings(engine):
-    flow = engine.parallelize(["rust", "spark", "rdd"]).filter(lambda c: F.length(c.value) > 3).map(lambda c: F.upper(c.value))
-    assert flow.collect() == ["RUST", "SPARK"]
+    flow = engine.parallelize(["flour", "rye", "wheel"]).filter(lambda c: F.length(c.value) > 3).map(lambda c: F.upper(c.value))
+    assert flow.collect() == ["FLOUR", "WHEEL"]
 
 
 def test_closures(engine):
@@ -114,8 +140,9 @@ def test_failing_closure_carries_its_message(engine):
             raise ValueError("boom on two")
         return x
 
-    with pytest.raises(Exception, match="boom on two"):
-        engine.parallelize([1, 2, 3]).map_py(fail, "long").collect()
+    with pytest.raises(TaskFailed, match="boom on two") as e:
+        engine.parallelize([1, 2, 3], partitions=3).map_py(fail, "long").collect()
+    assert e.value.partition == 1
 
 
 def test_union(engine):
@@ -143,7 +170,7 @@ def test_text_lines(engine, tmp_path, text, lines):
     path = tmp_path / "t.txt"
     path.write_bytes(text.encode())
     assert engine.read_text_file(str(path)).collect() == lines
-    assert sorted(engine.read_text_file(str(path), 16).collect()) == sorted(lines)
+    assert engine.read_text_file(str(path), 16).collect() == lines
 
 
 def test_text_lines_over_many_splits(engine, tmp_path, spark):
@@ -159,6 +186,15 @@ def test_text_lines_over_many_splits(engine, tmp_path, spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_text_lines_by_splits_keep_their_order(engine, tmp_path, spark):
+    path, lines = tmp_path / "t.txt", [f"zeile {i} äöü{'€' * (i % 9)}" for i in range(900)]
+    path.write_text("\r\n".join(lines))
+    flow = engine.read_text_file(str(path), 12)
+    assert 12 <= flow.num_partitions <= 14 and flow.collect() == lines
+    plan = flow.df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def test_missing_path_is_found_at_once(engine, tmp_path):
     with pytest.raises(SourceNotFound):
         engine.read_text_file(str(tmp_path / "none"))

@@ -1,16 +1,24 @@
 """Lineage, physical plans, metrics and streaming."""
 
+import socket
+import subprocess
+import sys
+import time
 import urllib.error
 import urllib.request
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import HashPartitioner, InvalidParallelism, Metrics, MetricsServer, Sum
+from millrace import HashPartitioner, InvalidParallelism, Metrics, MetricsServer, Sum, TaskFailed
 from millrace.plans.lineage import exchanges
 from millrace.plans.metrics import task_events
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
 def kinds(flow):
     return [s.kind for s in flow.stages()]
 
@@ -99,13 +107,18 @@ def test_counters_and_server(engine, spark):
         assert "# TYPE millrace_task_attempts_total counter" in text
         with pytest.raises(urllib.error.HTTPError):
             urllib.request.urlopen(f"{url}/other")
+        idle = socket.create_connection(server.address)
+        began = time.time()
+    assert time.time() - began < 3
+    with socket.create_server(server.address):  # the port is free again
+        idle.close()
     assert engine.is_driver and engine.rank == 0 and engine.world_size >= 1 and engine.parallelism == 4
     assert len(engine.net_bytes()) == 2 and engine.file_partition_opens() >= 0
 
 
 def test_failed_task_is_tried_again(engine, spark, tmp_path):
     mark = tmp_path / "tried"
-    before = Metrics(spark).counters()["task_failures_total"]
+    before = Metrics(spark).counters()
 
     def once(x):
         if not mark.exists():
@@ -114,7 +127,9 @@ def test_failed_task_is_tried_again(engine, spark, tmp_path):
         return x
 
     assert engine.parallelize([7], partitions=1).map_py(once, "long").collect() == [7]
-    assert Metrics(spark).counters()["task_failures_total"] > before
+    after = Metrics(spark).counters()
+    assert after["task_failures_total"] > before["task_failures_total"] and after["task_retries_total"] > before["task_retries_total"]
+    assert after["dispatch_disconnects_total"] == 0 and after["spill_read_bytes_total"] == after["spill_written_bytes_total"]
 
 
 def test_task_events(tmp_path):
@@ -125,6 +140,66 @@ def test_task_events(tmp_path):
     assert list(task_events(log))[1]["duration_us"] == 4000
 
 
+def test_task_events_of_a_real_log(tmp_path):
+    """A session of its own writes a log, with a task that fails once."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pathlib import Path
+from millrace import Engine
+e = Engine.builder().master("local[2]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.dir", {tmp_path.as_uri()!r}).get_or_create()
+def once(x):
+    mark = Path({str(tmp_path / "mark")!r})
+    if not mark.exists():
+        mark.touch()
+        raise RuntimeError("first attempt")
+    return x
+assert e.parallelize([7], partitions=1).map_py(once, "long").collect() == [7]
+e.spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    log = next(p for p in tmp_path.iterdir() if p.name != "mark" and not p.name.startswith("."))
+    done = [e for e in task_events(log) if e["event"] == "task_finished"]
+    failed = [e for e in done if not e["success"]]
+    assert failed and all(e["job"] is not None and e["executor"] == "driver" for e in done)
+    assert any(e["success"] and (e["job"], e["stage"], e["partition"]) == (failed[0]["job"], failed[0]["stage"], failed[0]["partition"]) and e["attempt"] == 1 for e in done)
+
+
+def test_spans_of_actions(engine, capfd, monkeypatch):
+    from millrace import spans
+
+    monkeypatch.setenv("MILLRACE_PROFILE", "1")
+    engine.range(3).count()
+    assert spans.done[-1][0] == "count" and spans.done[-1][1] > 0
+    assert "PROFILE pid=" in capfd.readouterr().err
+
+
+def test_an_action_computes_anew(engine, tmp_path):
+    """Nothing is kept between actions: a closure runs again for each."""
+    log = tmp_path / "ran"
+
+    def noted(x):
+        with log.open("a") as f:
+            f.write("x")
+        return x
+
+    flow = engine.parallelize([1, 2, 3], partitions=1).map_py(noted, "long")
+    first = (flow.count(), len(log.read_text()))
+    assert first[0] == flow.count() == 3 and len(log.read_text()) == 2 * first[1] > 0
+
+
+def test_a_failing_task_stops_an_endless_one(engine):
+    def endless(x):
+        if x:
+            raise RuntimeError("stops all")
+        while True:
+            yield 0
+
+    began = time.time()
+    with pytest.raises(TaskFailed, match="stops all") as e:
+        engine.parallelize([0, 1], partitions=2).flat_map_py(endless, "long").filter(lambda c: c.value > 0).count()
+    assert e.value.partition == 1 and time.time() - began < 60
+
+
 def test_text_stream(spark, tmp_path):
     from millrace.streaming import run_available, text_stream
 
