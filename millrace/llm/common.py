@@ -7,7 +7,6 @@ same answer and equal ids with different texts are told apart.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,43 +17,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources import shared_dir
 from ..workers import prepare
 
-__all__ = ["connected_components", "discard", "numbered", "prepare", "shared_dir", "spool", "table", "text_hash"]
+__all__ = ["connected_components", "delete", "discard", "numbered", "prepare", "shared_dir", "spool", "table", "text_hash"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset (local sessions, tests) a temporary folder is made.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def spool(df: DataFrame) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts lineage.
 
-    A lost executor loses nothing of it: later reads come from the shared store.
+    A lost executor loses nothing of it: later reads come from the shared store.  The
+    files go when the driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a spooled table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/spool-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def text_hash(text: str | Column = "text") -> Column:

@@ -28,11 +28,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(p: int, n: int) -> np.ndarray:
+    """The first n powers of p; kept are those for one chunk, those for a longer text are made anew."""
     have = _powers.get(p)
     if have is None or len(have) < n:
         x = np.full(max(n, CHUNK + 1), p, np.uint64)
         x[0] = 1
-        have = _powers[p] = np.cumprod(x, dtype=np.uint64)
+        have = np.cumprod(x, dtype=np.uint64)
+        if n <= CHUNK + 1:
+            _powers[p] = have
     return have[:n]
 
 

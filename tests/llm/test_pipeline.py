@@ -35,6 +35,27 @@ def test_stages(spark, sf_dir, docs, tmp_path):
             assert used <= set(ids[-2]) and len(used) > 0.3 * len(ids[-2])
 
 
+def test_stages_on_odd_rows_and_empty_tables(spark, sf_dir, odd, empty):
+    """Nulls in any column, blank and very long texts, repeated rows and clashing columns."""
+    for table in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, sf_dir)
+            rows = out.collect()
+            if name != "mix":
+                assert out.columns == table.columns
+            if table is empty:
+                assert not rows
+            elif name in ("decontaminate", "pii"):
+                same = lambda rs: sorted(str([x for x, c in zip(r, out.columns, strict=True) if c != "n_chars"]) for r in rs)
+                assert same(rows) == same(odd.collect())  # nothing leaks or is personal here; n_chars is counted anew
+            elif name == "near_dedup":
+                assert sorted([r.doc_id for r in rows], key=str) == [1, 4, 5, 6, 7, 9, None]
+            elif name == "quality_rules":
+                assert {r.doc_id for r in rows} <= {4}
+            else:
+                assert sum(r.n_words for r in rows) > 0 and {d for r in rows for d in r.doc_ids} <= {r.doc_id for r in odd.collect()}
+
+
 def test_run(spark, sf_dir):
     assert {"shard", "position", "source", "doc_ids", "text"} <= set(corpus_pipeline.run(spark, sf_dir).columns)
 
