@@ -74,7 +74,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c = fold[np.minimum(cp, 0xFFFF)]
     high = np.flatnonzero(cp > 0xFFFF)
     if len(high):
-        c[high] = [cp[i] if chr(cp[i]).isalpha() else 0 for i in high]
+        c[high] = [ord(chr(cp[i]).lower()[0]) if chr(cp[i]).isalpha() else 0 for i in high]
     # white space and other characters are one border however many follow each other
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
@@ -90,16 +90,24 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), has
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, passes: int = 20) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by dual coordinate descent; y is -1 or 1."""
+def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, passes: int = 400, still: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Linear support vector machine by dual coordinate descent; y is -1 or 1.
+
+    Ends when a pass moves no coefficient by more than ``still`` times c, or after ``passes``.
+    """
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     alpha, w, q = np.zeros(len(x)), np.zeros(x.shape[1]), (x * x).sum(1)
     rng = np.random.Generator(np.random.PCG64(5))
     for _ in range(passes):
+        most = 0.0
         for i in rng.permutation(len(x)):
             a = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / q[i], 0.0), c)
-            w += (a - alpha[i]) * y[i] * x[i]
-            alpha[i] = a
+            if a != alpha[i]:
+                most = max(most, abs(a - alpha[i]))
+                w += (a - alpha[i]) * y[i] * x[i]
+                alpha[i] = a
+        if most <= still * c:
+            break
     return w[:-1].astype(np.float32), float(w[-1])
 
 

@@ -1,6 +1,85 @@
 import binascii
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from millrace.llm import langid, queries
+from millrace.llm import textops as T
+
+
+def brute_vector(text):
+    """Square roots of the counts of hashed letter trigrams, of length 1; words are bordered by one 0."""
+    mask, mul = (1 << 64) - 1, lambda x: int(T.mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
+    c = [0]
+    for x in text:
+        v = ord(x.lower()[0]) if x.isalpha() else 0
+        if v or c[-1]:
+            c.append(v)
+    c += [0] if c[-1] else []
+    out = np.zeros(langid.DIM)
+    for a, b, d in zip(c, c[1:], c[2:], strict=False):
+        if b:
+            out[mul(a * 0x9E3779B1 + mul(b + 11) * 3 + mul(d + 29) * 7 & mask) % langid.DIM] += 1
+    out = np.sqrt(out)
+    return out / max(np.linalg.norm(out), 1e-9)
+
+
+def test_vectors_against_plain_python():
+    texts = ["The cat, the hat!", "", "12 -- 34", "\u00c9t\u00e9 \u6771\u4eac a", "x", "  spaced   out  ", "\U0001f600 \U00010400ab"]
+    x, has = langid.vectors(texts)
+    assert has.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    for row, t in zip(x, texts, strict=True):
+        assert np.allclose(row, brute_vector(t), atol=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_support_vector_machine_reaches_the_optimum(seed):
+    """Run to its end, its objective is that of a slow subgradient method."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(40, 6))
+    y = np.where(x @ rng.normal(size=6) + rng.normal(size=40) > 0, 1.0, -1.0)
+    wide = np.hstack([x, np.ones((40, 1))])
+
+    def objective(w):
+        return 0.5 * w @ w + 10.0 * np.maximum(0, 1 - y * (wide @ w)).sum()
+
+    w, b = langid.svm(x, y, passes=1000, still=0)
+    best, at = math.inf, np.zeros(7)
+    for step in range(1, 40_000):
+        at = at - (at - 10.0 * wide.T @ (y * (y * (wide @ at) < 1))) / (step + 10)
+        best = min(best, objective(at))
+    assert objective(np.append(w, b)) <= 1.001 * best
+
+
+def test_votes_and_ties_against_plain_python():
+    rng = np.random.default_rng(4)
+    m = langid.Model(["germanic", "romance"], {"germanic": ["de", "en", "nl", "sv"], "romance": ["fr"]}, rng.normal(size=(5, 2)), rng.normal(size=2))
+    for i, a in enumerate(m.langs["germanic"]):
+        for b in m.langs["germanic"][i + 1 :]:
+            m.pairs[a, b] = (rng.normal(size=5), 0.0)
+    x = rng.normal(size=(300, 5))
+    lang, score = m.predict(x)
+    tied = 0
+    for v, got, s in zip(x, lang, score, strict=True):
+        z = np.exp(v @ m.w + m.b)
+        f = int(z.argmax())
+        langs = m.langs[m.families[f]]
+        votes, margin, prob = Counter(), Counter(), Counter()
+        for (a, b), (w, c) in m.pairs.items() if len(langs) > 1 else []:
+            d = v @ w + c
+            votes[a if d >= 0 else b] += 1
+            margin[a] += d
+            margin[b] -= d
+            prob[a] += 1 / (1 + math.exp(-2 * d))
+            prob[b] += 1 - 1 / (1 + math.exp(-2 * d))
+        top = max(votes.values(), default=0)
+        tied += sum(n == top for n in votes.values()) > 1
+        want = max(langs, key=lambda n: (votes[n], margin[n]))
+        assert got == want
+        assert abs(s - z[f] / z.sum() * (prob[want] / (len(langs) - 1) if len(langs) > 1 else 1)) < 1e-9
+    assert tied > 10
 
 
 def test_held_out_accuracy(spark, sf_dir, docs):
