@@ -63,7 +63,7 @@ def test_query_against_brute_force(spark, sf_dir, docs):
 
 
 def test_long_runs_take_linear_time(spark):
-    texts = {1: "1" * 100_000, 2: "a" * 100_000 + "@", 3: "+1" + " 2" * 50_000, 4: "1." * 50_000, 5: "1 " * 50_000 + "x@y.z"}
+    texts = {1: "1" * 40_000, 2: "a" * 40_000 + "@", 3: "+1" + " 2" * 20_000, 4: "1." * 20_000, 5: "1 " * 20_000 + "x@y.z"}  # what is slow is the plain patterns
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check([r for r in pii.digest(pii.find(df)).collect() if r.doc_id != 9], texts)
 
