@@ -16,10 +16,11 @@ single shingle in a window of four (J = 1/4), is retrieved with probability
 A retrieved place is verified: the part of the template's shingles that the text
 holds within one template's length of the window must reach ``THRESHOLD``.
 
-Only DataFrame functions are used.  Templates are handled in blocks of
-``BLOCK_KEYS`` signature values, each a constant of the scan; any number of
-templates is handled by more scans.  Texts aren't shuffled, and only documents
-that share a band are expanded.
+Only DataFrame functions are used.  Windows and bands are rows within one generated
+stage, where a band meets the templates by a hash join; only the rows that meet one
+leave it.  Templates are handled in blocks of ``BLOCK_KEYS`` band values (or one
+template), which bounds what is broadcast; any number of templates is handled by more
+scans.  Texts aren't shuffled.
 
 Defined cases: null text and texts of under five words match nothing, nor does a
 template of under five words; repeated rows give one match; a template in a
@@ -86,11 +87,6 @@ def _template_windows(h: Column) -> Column:
     return F.struct(F.array_distinct(h).alias("th"), F.size(h).alias("n"), keys.alias("keys"))
 
 
-def _text_windows(h: Column) -> Column:
-    starts = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1, F.lit(WINDOW)))
-    return F.struct(h.alias("h"), F.transform(starts, lambda i: signature(h, i)).alias("bands"))
-
-
 def _of_text(body: Callable[[Column], Column]) -> Column:
     return bound(words(F.col("text")), lambda w: bound(shingles(w), body))
 
@@ -117,19 +113,20 @@ def scan(docs: DataFrame, rows: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _scan_block(spark: SparkSession, src: DataFrame, block: list, threshold: float) -> DataFrame:
-    keys = sorted({k for t in block for k in t["keys"]})
-    shared = spark.createDataFrame([(t.template_id, t.license, t.th, t.n, t["keys"]) for t in block], "template_id long, license string, th array<bigint>, n int, keys array<bigint>")
-    wanted = F.from_json(F.lit("[" + ",".join(map(str, keys)) + "]"), "array<bigint>")  # folded to one constant
-    signed = src.select("doc_id", "key", _of_text(_text_windows).alias("s")).select("doc_id", "key", "s.h", "s.bands")
-    hit = signed.where(F.arrays_overlap(F.flatten("bands"), wanted))
-    windows = hit.select("doc_id", "key", "h", F.posexplode("bands").alias("window", "band")).where(F.arrays_overlap("band", wanted))
-    places = windows.select("doc_id", "key", "h", (F.col("window") * WINDOW).alias("at"), F.explode(F.array_distinct("band")).alias("k"))
-    lookup = shared.select("template_id", "license", "th", "n", F.explode("keys").alias("k"))
-    met = places.join(F.broadcast(lookup), "k")  # one block: at most BLOCK_KEYS rows, or one template
+    values = spark.createDataFrame([(k, t.template_id) for t in block for k in t["keys"]], "k long, template_id long")  # BLOCK_KEYS at most, or one template's
+    shared = spark.createDataFrame([(t.template_id, t.license, t.th, t.n) for t in block], "template_id long, license string, th array<bigint>, n int")
+    texts = src.select("doc_id", "key", _of_text(lambda h: h).alias("h")).where(F.size("h") > 0)
+    windows = texts.select("doc_id", "key", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1, F.lit(WINDOW))).alias("at"))
+    # a window that the text's end cuts off has its first shingle again, which leaves its minima
+    own = [F.get("h", F.col("at")), *[F.coalesce(F.get("h", F.col("at") + i), F.get("h", F.col("at"))) for i in range(1, WINDOW)]]
+    held = windows.select("doc_id", "key", "h", "at", *[c.alias(f"s{i}") for i, c in enumerate(own)])
+    bands = F.array(*[F.least(*[F.xxhash64(f"s{i}", F.lit(band)) for i in range(WINDOW)]) for band in range(BANDS)])
+    places = held.select("doc_id", "key", "h", "at", F.explode(bands).alias("k"))
+    met = places.join(F.broadcast(values), "k").join(F.broadcast(shared), "template_id")
     lo = F.greatest(F.col("at") - F.col("n"), F.lit(0))
     part = F.slice("h", lo + 1, F.col("at") + WINDOW + F.col("n") - lo)
-    held = F.array_intersect("th", part)
-    found = met.select("doc_id", "key", "template_id", "license", (F.size(held) / F.size("th")).alias("containment"), (lo + F.array_position(part, F.get(held, F.lit(0))) - 1).cast("int").alias("first_word"))
+    inside = F.array_intersect("th", part)
+    found = met.select("doc_id", "key", "template_id", "license", (F.size(inside) / F.size("th")).alias("containment"), (lo + F.array_position(part, F.get(inside, F.lit(0))) - 1).cast("int").alias("first_word"))
     best = F.min(F.struct((-F.col("containment")).alias("c"), F.col("first_word").alias("w")))
     out = found.where(F.col("containment") >= threshold).groupBy("doc_id", "key", "template_id", "license").agg(best.alias("b"))
     return out.select("doc_id", "template_id", "license", (-F.col("b.c")).alias("containment"), F.col("b.w").alias("first_word"))
