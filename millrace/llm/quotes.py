@@ -74,7 +74,7 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     m = m.withColumn("at", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct("conv_id", "turn", "th", "id")))
     p = parsed(m).withColumn("own", F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"))
     quoted = F.when(F.exists("lines", lambda x: x["level"] > 0), _passages(F.col("lines")))
-    p = spool(p.select("id", "at", "conv_id", "turn", "role", "text", "own", F.coalesce(F.filter(quoted, lambda x: (x["level"] > 0) & (F.length(F.trim(x["body"])) > 0)), F.array().cast("array<struct<pos:int,level:int,body:string>>")).alias("quotes")))
+    p = spool(p.select("id", "at", "conv_id", "turn", "role", F.col("text").isNotNull().alias("there"), "own", F.coalesce(F.filter(quoted, lambda x: (x["level"] > 0) & (F.length(F.trim(x["body"])) > 0)), F.array().cast("array<struct<pos:int,level:int,body:string>>")).alias("quotes")))
 
     # originals: whole messages, paragraphs and lines, each filed under the first writer of each conversation
     units = F.array_distinct(F.filter(F.transform(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")), normal), lambda x: F.length(x) > 0))
@@ -92,7 +92,7 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     linked = linked.withColumn("origin", F.when(F.col("elsewhere"), F.col("first")).otherwise(F.col("here"))).where(F.col("origin") < F.col("at"))
     found = linked.groupBy("id").agg(F.min(F.struct("level", "part", "elsewhere", "short", "pos", "origin")).alias("best"), F.count_distinct("pos").alias("n_linked")).select("id", F.col("best.origin").alias("quoted_from"), "n_linked")
 
-    tree = p.join(found, "id", "left")
+    tree = p.select("id", "at", "conv_id", "turn", F.size("quotes").cast("long").alias("n_quotes")).join(found, "id", "left")  # texts come last
     if follow_turns:  # a conversation of any length is numbered over many tasks, and met with itself by number
         turns = spool(numbered(p.where("at is not null").select("conv_id", "at", "id"), "conv_id", ["at"], "n"))
         previous = turns.select("conv_id", (F.col("n") + 1).alias("n"), F.col("at").alias("previous"))
@@ -100,13 +100,13 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     else:
         tree = tree.withColumn("previous", F.lit(None).cast(p.schema["at"].dataType))
     tree = tree.withColumn("parent", F.coalesce("quoted_from", "previous"))
-    tree = spool(tree.select("id", "at", "conv_id", "turn", "role", "own", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent"))
-    out = tree.join(_places(tree), "id")
+    tree = spool(tree.select("id", "at", "conv_id", "turn", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent"))
+    out = tree.select("id", "n_quotes", "n_linked", "parent").join(_places(tree), "id").join(p.select("id", "conv_id", "turn", "role", "there", "own"), "id")
     return out.select(
         "conv_id", "turn", "role", "n_quotes", "n_linked",
         F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"),
         F.col("root.conv_id").alias("thread_conv_id"), F.col("root.turn").alias("thread_turn"), "position", "depth",
-        F.when(F.col("text").isNotNull(), F.trim("own")).alias("clean_text"),
+        F.when(F.col("there"), F.trim("own")).alias("clean_text"),
     )
 
 
