@@ -127,7 +127,7 @@ def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         parts = [np.frombuffer(buf[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(off, off[1:], strict=False)]
         count = np.array([len(p) for p in parts], np.int64)
         cp = np.concatenate(parts) if parts else cp
-    return cp, np.repeat(np.arange(n), count)
+    return cp, np.repeat(np.arange(n, dtype=np.int32), count)
 
 
 def char_lengths(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
