@@ -1,21 +1,25 @@
-"""Near-copies by the Jaccard similarity of word shingles: MinHash bands, then verified.
-
-Work is done on distinct texts (words without regard to case and white space).  A
-text's shingles are hashed; BANDS keys of ROWS minima each bring texts of
-similarity s together with probability 1 - (1 - s^ROWS)^BANDS (0.997 at 0.8).
-Every candidate's similarity is computed from the two sets of shingles before it
-is linked, so nothing below ``similarity`` is linked.
-
-Buckets of up to ``max_bucket`` texts are joined with themselves.  In a larger one each
-text is paired with the bucket's most central text, the one that meets most others over
-all its buckets: in a family of near-copies that is what the others were made from, or
-like it.  Texts that this doesn't bring into their centre's component are put together
-again, bucket by bucket, and so on for ``TURNS`` turns; what a large bucket still holds
-apart is dealt into parts of about ``max_bucket`` that are joined with themselves.  So
-the pairs are in proportion to the texts, however large a family of near-copies is.
-Pairs whose 256 bits of minima agree in fewer than ``LEAST_BITS`` are not verified (at
-similarity 0.8 that is 4.3 standard deviations below the mean), nor are pairs that
-earlier turns already connect.
+"""Near-copies by the Jaccard similarity of word shingles: shared prefixes, then verified.
+
+Work is done on distinct texts (words without regard to case and white space).  All
+shingles have one order, rare ones first.  Two sets of similarity s share a shingle among
+the first g - ceil(s g) + 1 of each (g: its size), so joining on these prefixes meets
+every pair of that similarity: none is left to chance.  What is rare is read from
+counts of shingles by cells (``rarity``); any order is right, a good one meets fewer pairs.
+
+Of the shingles that a pair shares, those outside the prefixes are at most the longer rest of
+the two, so pairs that share too few in their prefixes, and pairs of too different
+sizes, can't be near enough and are left out.  Every other candidate's similarity is
+computed from the two sets before it is linked, so nothing below ``similarity`` is linked.
+
+Buckets (texts whose prefixes hold one shingle) of up to ``max_bucket`` texts are joined with
+themselves.  In a larger one each text is paired with the bucket's most central text, the
+one that meets most others over all its buckets: in a family of near-copies that is what the
+others were made from, or like it.  Texts that this doesn't bring into their centre's
+component are put together again, bucket by bucket, and so on for ``TURNS`` turns.  That
+is only a short way: at the end every pair of a large bucket that the links found
+so far leave in different components is met (``apart``), so the components are those of
+all pairs.  The pairs are in proportion to the texts where the centres connect a family; the rest of
+a bucket outside its largest component is met with all of the bucket.
 
 Defined cases: texts without words are all alike; a text of fewer words than a
 shingle is one shingle.
@@ -27,21 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import connected_components, prepare, spool, text_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 8
-LEAST_BITS = 210
 MAX_BUCKET, TURNS = 16, 3
-
-_N = BANDS * ROWS
-_RNG = np.random.Generator(np.random.PCG64(11))
-_XOR = _RNG.integers(0, 1 << 64, _N, dtype=np.uint64)
-_ODD = _RNG.integers(0, 1 << 63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Cells that shingles are counted by, and the segments in which the counts travel.
+CELL_BITS, SEGMENTS = 22, 64
+#: Texts of a bucket that one task meets with those outside the largest component.
+BLOCK = 4096
+#: Above any error of products of sizes and similarities, far below the least difference of counts.
+EPS = 1e-6
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,74 +68,150 @@ def shingles(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
     return np.concatenate([g, whole[short]])[order], row[order], whole
 
 
-def signatures(g: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n texts BANDS keys, and 256 bits in four longs."""
-    least = np.zeros((_N, n), np.uint64)
-    if len(g):
-        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        has = row[begin]
-        for i in range(_N):
-            least[i, has] = np.minimum.reduceat((g ^ _XOR[i]) * _ODD[i], begin)
-    keys = np.empty((n, BANDS), np.uint64)
-    for j in range(BANDS):
-        x = np.full(n, j + 1, np.uint64)
-        for m in least[j * ROWS : (j + 1) * ROWS]:
-            x = T.mix(x * np.uint64(T._P) + m)
-        keys[:, j] = x
-    odd = (T.mix(least) & np.uint64(1)).astype(np.uint8)
-    bits = np.ascontiguousarray(np.packbits(odd.T, axis=1)[:, : 256 // 8]).view(np.int64)
-    return keys.view(np.int64), bits
+def cells(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rarity(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE) -> np.ndarray:
+    """How often shingles of each cell occur, up to 65,535 (and 255 of one task): the order from rare to common."""
+    prepare(docs.sparkSession)
+    size = (1 << CELL_BITS) // SEGMENTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held = np.zeros(1 << CELL_BITS, np.uint32), []
+
+        def add() -> None:
+            if held:
+                np.add(n, np.bincount(np.concatenate(held), minlength=len(n)), out=n, casting="unsafe")
+                held.clear()
+
+        for batch in batches:
+            for _, buf, off in T.chunks(batch):
+                held.append(cells(shingles(buf, off, shingle)[0]))
+                if sum(map(len, held)) >= len(n):
+                    add()
+        add()
+        parts = np.minimum(n, 255).astype(np.uint8).reshape(SEGMENTS, size)
+        some = np.flatnonzero(parts.any(axis=1))
+        for i in some.tolist():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["segment", "n"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[i] = total.get(i, np.zeros(size, np.uint32)) + np.frombuffer(n.as_buffer(), np.uint8)
+        for i, n in total.items():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["segment", "n"])
+
+    schema = "segment int, n binary"
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, schema).repartition("segment").mapInArrow(add_up, schema)
+    out = np.zeros((SEGMENTS, size), np.uint16)
+    for r in found.toLocalIterator():
+        out[r.segment] = np.frombuffer(r.n, np.uint16)
+    return out.ravel()
+
+
+def beyond(size: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles of a set lie beyond its prefix."""
+    return np.ceil(similarity * size - EPS).astype(np.int64) - 1
+
 
+def keys(docs: DataFrame, order: np.ndarray, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """k, fp: the shingles of each text's prefix (copies can repeat them)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(order)
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        for batch in batches:
+            for _, buf, off in T.chunks(batch):
+                g, row, whole = shingles(buf, off, shingle)
+                once = np.zeros(len(whole), bool)
+                once[np.unique(whole, return_index=True)[1]] = True
+                g, row = g[once[row]], row[once[row]]
+                by = np.lexsort((g, rank[cells(g)], row))
+                g, row = g[by], row[by]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                g, row = g[new], row[new]
+                size = np.bincount(row, minlength=len(whole))
+                place = np.arange(len(g)) - (np.cumsum(size) - size)[row]
+                head = place < (size - beyond(size, similarity))[row]
+                yield pa.record_batch([pa.array(g[head].view(np.int64)), pa.array(whole[row[head]].view(np.int64))], names=["k", "fp"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k long, fp long")
 
 
 def prints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, th, fp (hash of the words), bands and bits of each document."""
+    """doc_id, th and fp (hash of the words) of each document."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in T.chunks(batch):
-                g, row, whole = shingles(buf, off, shingle)
-                cols = [_lists(x) for x in signatures(g, row, len(off) - 1)]
-                yield pa.record_batch([T.column(part, "doc_id"), T.column(part, "th"), pa.array(whole.view(np.int64)), *cols], names=["doc_id", "th", "fp", "bands", "bits"])
+                whole = shingles(buf, off, shingle)[2]
+                yield pa.record_batch([T.column(part, "doc_id"), T.column(part, "th"), pa.array(whole.view(np.int64))], names=["doc_id", "th", "fp"])
+
+    return src.mapInArrow(run, "doc_id long, th long, fp long")
+
 
-    return src.mapInArrow(run, "doc_id long, th long, fp long, bands array<long>, bits array<long>")
+def _near_sizes(similarity: float) -> Column:
+    return F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - EPS
 
 
-def _within(rows: DataFrame, *on: str) -> DataFrame:
-    other = rows.select(*on, F.col("fp").alias("b"))
-    return rows.join(other, list(on)).where(F.col("fp") < F.col("b")).select(F.col("fp").alias("a"), "b")
+def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs (a row for each prefix shingle met) that can be near enough.
+
+    ``other`` and ``other_b``: how many more of their prefixes' shingles may be shared.
+    """
+    low = F.col("fp") < F.col("b")
+    rest = F.greatest("size", "size_b")
+    met = pairs.groupBy(F.when(low, F.col("fp")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("fp")).alias("b")).agg(
+        F.count("*").alias("m"), F.first(F.least("other", "other_b")).alias("more"), F.first(F.ceil(rest * similarity - EPS) - 1).alias("beyond"), F.first(F.col("size") + F.col("size_b")).alias("sum")
+    )
+    return met.where(F.col("m") + F.col("more") + F.col("beyond") >= similarity / (1 + similarity) * F.col("sum") - EPS).select("a", "b")
+
+
+def _theirs(rows: DataFrame, *on: str) -> DataFrame:
+    return rows.select(*on, *[F.col(c).alias("b" if c == "fp" else f"{c}_b") for c in rows.columns if c not in on])
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """k, fp, weight, n, centre: the rows (k, fp, weight) whose key others share, with their bucket's size and centre."""
-    size = rows.groupBy("k").agg(F.count("*").alias("n"), F.max_by("fp", F.struct("weight", "fp")).alias("centre")).where("n > 1")
-    return spool(rows.join(size, "k"))
+    """k, fp, weight, size, n, centre, size_b: the rows whose key others share, with their bucket's size and centre."""
+    size = rows.groupBy("k").agg(F.count("*").alias("n"), F.max_by(F.struct("fp", "size"), F.struct("weight", "fp")).alias("c")).where("n > 1")
+    return spool(rows.join(size, "k").select("k", "fp", "weight", "size", "n", F.col("c.fp").alias("centre"), F.col("c.size").alias("size_b")))
+
 
+def candidates(held: DataFrame, *, similarity: float, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """a, b: the pairs of the texts of small buckets, and of large ones' texts and centres, that can be near enough."""
+    large = held.groupBy("fp").agg(F.count(F.when(F.col("n") > max_bucket, 1)).alias("other"))
+    small = held.where(F.col("n") <= max_bucket).select("k", "fp", "size").join(large, "fp")
+    every = small.join(_theirs(small, "k"), "k").where(F.col("fp") < F.col("b")).where(_near_sizes(similarity))
+    star = held.where(F.col("n") > max_bucket).where("fp <> centre").where(_near_sizes(similarity))
+    star = star.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+    return _enough(every, similarity).union(star).distinct()
 
-def candidates(held: DataFrame, texts: DataFrame, *, last: bool, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """a, b: pairs of the texts of each bucket that are worth verifying."""
-    small, many = held.where(F.col("n") <= max_bucket), held.where(F.col("n") > max_bucket)
-    star = many.where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
-    every = _within(small, "k").union(star)
-    if last:
-        part = F.pmod(F.xxhash64("fp", "k"), F.ceil(F.col("n") / max_bucket))
-        every = every.union(_within(many.withColumn("part", part), "k", "part"))
 
-    def bits(name: str) -> DataFrame:
-        return texts.select(F.col("fp").alias(name), F.col("bits").alias(f"bits_{name}"))
+def apart(many: DataFrame, roots: DataFrame, *, similarity: float, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """a, b: every pair of a large bucket that lies in different components and can be near enough.
 
-    both = every.distinct().join(bits("a"), "a").join(bits("b"), "b")
-    agree = sum((256 // 4 - F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(4)), F.lit(0))
-    return both.where(agree >= LEAST_BITS).select("a", "b")
+    A bucket's texts outside its largest component are met with all its texts, in blocks.
+    """
+    small = many.select("fp", "small").distinct().withColumnRenamed("small", "other")
+    rows = many.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").select("k", "fp", "size", "n", F.coalesce("root", "fp").alias("root"))
+    parts = rows.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r")).where("r > 1").select("k", "main")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    held = spool(rows.join(parts, "k").join(small, "fp").select("k", "fp", "size", "other", "root", (F.col("root") == F.col("main")).alias("is_main"), blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block")))
+    left = held.where("not is_main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "block", "fp", "size", "other", "root")
+    right = _theirs(held.drop("blocks"), "k", "block")
+    pairs = left.join(right, ["k", "block"]).where("root <> root_b and (is_main_b or fp < b)").where(_near_sizes(similarity))
+    return _enough(pairs, similarity)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """fp, grams: the distinct shingles of the texts whose hash is in wanted (column th)."""
+    """fp, grams, size: the distinct shingles of the texts whose hash is in wanted (column th)."""
     once = docs.groupBy(text_hash(text_col).alias("th")).agg(F.first(text_col).alias("text"))  # copies meet before the shuffle
     texts = once.join(wanted, "th", "left_semi").select("text")
 
@@ -144,7 +223,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text",
                 sets = [np.unique(g[a:b]).view(np.int64) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.record_batch([pa.array(whole.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "grams"])
 
-    return texts.mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"])
+    return texts.mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"]).withColumn("size", F.size("grams"))
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -157,36 +236,49 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(docs: DataFrame, texts: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET, turns: int = TURNS) -> DataFrame:
-    """Edges a, b between distinct texts (columns fp, th, bands, bits) that connect the near-copies."""
-    keys = texts.select("fp", F.explode("bands").alias("k"))
-    shared = keys.join(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k")
-    met = spool(shared.groupBy("fp").agg(F.sum("n").alias("weight"), F.collect_list("k").alias("ks")))  # BANDS keys at most
+    """Edges a, b between distinct texts (columns fp, th) that connect all near-copies."""
+    order = rarity(docs, text_col=text_col, shingle=shingle)
+    key = Window.partitionBy("k")
+    met = keys(docs, order, text_col=text_col, shingle=shingle, similarity=similarity).withColumns({"lo": F.min("fp").over(key), "hi": F.max("fp").over(key)})
+    met = spool(met.where("lo <> hi").select("k", "fp").distinct())
     sets = spool(shingle_sets(docs, texts.join(met, "fp", "left_semi").select("th"), text_col=text_col, shingle=shingle))
-    rows, done, roots = met.select("fp", "weight", F.explode("ks").alias("k")), None, None
+    n = met.groupBy("k").agg(F.count("*").alias("n"))
+    weights = met.join(n, "k").groupBy("fp").agg(F.sum("n").alias("weight"), F.count(F.when(F.col("n") <= max_bucket, 1)).alias("small"))
+    weights = spool(weights.join(sets.select("fp", "size"), "fp"))
+    rows = met.join(weights.drop("small"), "fp")
+    done = roots = many = None
     for turn in range(1, turns + 1):
         held = buckets(rows)
-        pairs = candidates(held, texts, last=turn == turns, max_bucket=max_bucket)
+        pairs = candidates(held, similarity=similarity, max_bucket=max_bucket)
         if roots is not None:
-            of = [roots.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
-            apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-            pairs = pairs.join(of[0], "a", "left").join(of[1], "b", "left").where(apart).select("a", "b")
+            pairs = _across(pairs, roots)
         found = spool(verified(pairs, sets, similarity))
         done = found if done is None else done.union(found)
-        if turn == turns:
-            return done
-        many = held.where(F.col("n") > max_bucket)
-        if many.limit(1).count() == 0:  # all buckets were joined in full
-            return done
+        large = held.where(F.col("n") > max_bucket)
+        if large.limit(1).count() == 0:  # all buckets were joined in full
+            break
+        many = large if many is None else many
         roots = spool(connected_components(done))
         mine, theirs = roots.select(F.col("v").alias("fp"), F.col("root").alias("own")), roots.select(F.col("v").alias("centre"), F.col("root").alias("head"))
-        apart = F.coalesce("own", "fp") != F.coalesce("head", "centre")
-        rows = many.join(mine, "fp", "left").join(theirs, "centre", "left").where(apart).select("fp", "weight", "k")
+        split = F.coalesce("own", "fp") != F.coalesce("head", "centre")
+        rows = large.join(mine, "fp", "left").join(theirs, "centre", "left").where(split).select("k", "fp", "weight", "size")
+    if many is None:
+        return done
+    if turn > 1 and large.limit(1).count() == 0:  # roots lack the last turn's links
+        roots = spool(connected_components(done))
+    rest = apart(many.join(weights.select("fp", "small"), "fp"), roots, similarity=similarity, max_bucket=max_bucket)
+    return done.union(spool(verified(rest, sets, similarity)))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose texts lie in different components."""
+    of = [roots.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    return pairs.join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def components(docs: DataFrame, found: DataFrame, **options) -> DataFrame:
     """fp, root (one text of its component) and component_id (least doc_id there), of what prints() found."""
-    first = [F.first(c).alias(c) for c in ("bands", "bits")]
-    texts = spool(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *first))
+    texts = spool(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th")))
     roots = connected_components(links(docs, texts, **options))
     at = texts.join(roots, texts.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = at.groupBy("root").agg(F.min("least").alias("component_id"))

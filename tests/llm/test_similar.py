@@ -3,6 +3,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
+from millrace.llm import similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,3 +53,32 @@ def test_a_large_family_of_near_copies(spark, sf_dir):
     got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect())
     want = kept_by_brute_force(texts)
     assert set(want) <= set(got) and len(got) <= len(want) + 0.02 * (len(texts) - len(want))
+
+
+def kept(spark, sf_dir, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    return sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect())
+
+
+def test_large_families_as_by_brute_force(spark, sf_dir, monkeypatch):
+    """No text of a bucket far beyond max_bucket stays though any other, not only a central one, is near enough."""
+    for seed, copies, changed, block in ((6, 250, 8, similar.BLOCK), (7, 120, 14, 20)):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        texts = family(np.random.default_rng(seed), 150, copies, changed)
+        want = kept_by_brute_force(texts)
+        assert kept(spark, sf_dir, texts) == want and len(want) < len(texts)
+
+
+def test_a_common_passage_and_drifting_versions(spark, sf_dir):
+    """A passage of many texts links none of them; each version links to the next ones only."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join([*(f"u{x}" for x in rng.integers(0, 10**6, 50)), passage]) for _ in range(60)]
+    version = [f"v{i}" for i in range(120)]
+    for i in range(50):
+        version[int(rng.integers(120))] = f"new{i}"
+        version[int(rng.integers(120))] = f"newer{i}"
+        texts.append(" ".join(version))
+    texts += ["a b", "A  b", "a b c d e", "a b c d e f", "", " "]
+    want = kept_by_brute_force([t if t.strip() else "none" for t in texts])
+    assert kept(spark, sf_dir, texts) == want
