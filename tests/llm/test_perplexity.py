@@ -137,6 +137,24 @@ def test_every_context_sums_to_one_and_pruning_leaves_the_rest_to_the_back_off(s
             assert abs(p.sum() - free - 1) < 1e-5
 
 
+def test_no_ngram_is_left_out_however_many_there_are(spark, monkeypatch):
+    """More n-grams than the arrays hold: the same log-perplexities and verdicts as by all of them."""
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcde\u00e9\u4e00") for _ in range(rnd.randint(1, 5))) for _ in range(30)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(50, 70))) + (" zq" * (i % 3)), ["en", "fr", None][i % 3]) for i in range(30)]
+    rows += [(30, "", "en"), (31, None, None), (32, rows[4][1], "fr"), (33, " ".join("".join(rnd.choice("zyxw9") for _ in range(6)) for _ in range(60)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = {r.doc_id: r.kept for r in perplexity.assess(df).collect()}
+    model = Brute([t for _, t, _ in rows if t])
+    for rare in (500, 2):
+        monkeypatch.setattr(perplexity, "RARE", rare)
+        got = {r.doc_id: r for r in perplexity.assess(df).collect()}
+        for d, t, _ in rows:
+            assert got[d].log_ppl is None if not t else abs(got[d].log_ppl - model.log_ppl(t)) < 1e-5
+        assert {d: r.kept for d, r in got.items()} == whole
+    assert {r.doc_id for r in perplexity.accept(df).collect()} == {d for d, k in whole.items() if k}
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
     rnd = random.Random(2)
     common = "the a of and to in is was it for on as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
