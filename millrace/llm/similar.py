@@ -17,9 +17,20 @@ one that meets most others over all its buckets: in a family of near-copies that
 others were made from, or like it.  Texts that this doesn't bring into their centre's
 component are put together again, bucket by bucket, and so on for ``TURNS`` turns.  That
 is only a short way: at the end every pair of a large bucket that the links found
-so far leave in different components is met (``apart``), so the components are those of
-all pairs.  The pairs are in proportion to the texts where the centres connect a family; the rest of
-a bucket outside its largest component is met with all of the bucket.
+so far leave in different components and that can be near enough is met (``apart``),
+so the components are those of all pairs.
+
+There the texts of one centre are compared by their changes: the shingles that a
+text has and the centre has not, then those that the centre has and the text has not.
+Two texts differ in what differs between their changes.  If d = (1 - s) / (1 + s) and a text of
+size g has c changes, its need is (c - d g) / 2, and a pair of similarity s shares
+at least as many changes as the needs of both.  A text that isn't linked to the centre
+needs more than d / 2 of the centre's size, and no text less than the negative of that, so all
+such pairs share a change, at a place of either text's order from which enough changes
+are left.  Changes that a family's texts made each for itself are shared with none, and are
+what such a text has first.  What remains are texts that leave out the same of
+their centre: a family that only leaves out, many of its texts a fifth or more, still meets in
+proportion to the square of those texts.
 
 Defined cases: texts without words are all alike; a text of fewer words than a
 shingle is one shingle.
@@ -31,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +53,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 MAX_BUCKET, TURNS = 16, 3
 #: Cells that shingles are counted by, and the segments in which the counts travel.
 CELL_BITS, SEGMENTS = 22, 64
-#: Texts of a bucket that one task meets with those outside the largest component.
+#: Texts of a change that one task meets with those outside the largest component.
 BLOCK = 4096
+#: Texts of one centre that one task compares with it.
+DEALT = 256
 #: Above any error of products of sizes and similarities, far below the least difference of counts.
 EPS = 1e-6
 
@@ -117,13 +131,11 @@ def beyond(size: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity * size - EPS).astype(np.int64) - 1
 
 
-def keys(docs: DataFrame, order: np.ndarray, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keys(docs: DataFrame, order: Broadcast, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """k, fp: the shingles of each text's prefix (copies can repeat them)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
+        rank = order.value
         for batch in batches:
             for _, buf, off in T.chunks(batch):
                 g, row, whole = shingles(buf, off, shingle)
@@ -194,20 +206,66 @@ def candidates(held: DataFrame, *, similarity: float, max_bucket: int = MAX_BUCK
     return _enough(every, similarity).union(star).distinct()
 
 
-def apart(many: DataFrame, roots: DataFrame, *, similarity: float, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def changes(rows: DataFrame, order: Broadcast, similarity: float) -> DataFrame:
+    """centre, e, fp, root, size, need, room: the changes by which each text can meet one of another component.
+
+    room: the changes of the text's order from this one on, less the text's need.  A pair's first
+    common change leaves each of the two room for the other's need.
+    """
+    d = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = order.value
+        for batch in batches:
+            e, need, room = [], [], []
+            of = [[x.values.to_numpy() for x in T.column(batch, c)] for c in ("grams", "grams_c")]
+            for g, c in zip(*of, strict=True):
+                new, gone = np.setdiff1d(g, c, assume_unique=True), np.setdiff1d(c, g, assume_unique=True)
+                count = rank[cells(new.view(np.uint64))]
+                by = np.argsort(count, kind="stable")
+                both = np.concatenate([new[by], gone])
+                common = len(g) - len(new)
+                mine = (len(both) - d * len(g)) / 2
+                # texts near the centre are in its component, so they meet only others, which need more
+                theirs = d * len(c) / 2 if common / (len(g) + len(c) - common) >= similarity else mine - d * len(g) / similarity
+                left = len(both) - np.arange(len(both)) - mine
+                shared = np.concatenate([count[by] > 1, np.ones(len(gone), bool)])  # what occurs once meets nothing
+                at = shared & (left >= theirs - EPS)
+                e.append(both[at])
+                need.append(mine)
+                room.append(left[at])
+            n = [len(x) for x in e]
+            if sum(n):
+                again = np.repeat(np.arange(len(n)), n)
+                own = [T.column(batch, c).take(pa.array(again)) for c in ("centre", "fp", "root", "size")]
+                yield pa.record_batch([own[0], pa.array(np.concatenate(e)), *own[1:], pa.array(np.array(need)[again]), pa.array(np.concatenate(room))], names=["centre", "e", "fp", "root", "size", "need", "room"])
+
+    return rows.mapInArrow(run, "centre long, e long, fp long, root long, size int, need double, room double")
+
+
+def apart(many: DataFrame, roots: DataFrame, sets: DataFrame, order: Broadcast, *, similarity: float) -> DataFrame:
     """a, b: every pair of a large bucket that lies in different components and can be near enough.
 
-    A bucket's texts outside its largest component are met with all its texts, in blocks.
+    Met by common changes; of the texts of a change those outside their largest
+    component are met with all, in blocks.
     """
-    small = many.select("fp", "small").distinct().withColumnRenamed("small", "other")
-    rows = many.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").select("k", "fp", "size", "n", F.coalesce("root", "fp").alias("root"))
-    parts = rows.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r")).where("r > 1").select("k", "main")
+    own = roots.select(F.col("v").alias("fp"), "root")
+    texts = spool(many.select("centre", "fp").distinct().join(own, "fp", "left").select("centre", "fp", F.coalesce("root", "fp").alias("root")))
+    split = texts.groupBy("centre").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    split = spool(split.select("centre", F.ceil(F.col("n") / DEALT).cast("int").alias("blocks")))
+    mine = texts.join(split, "centre").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).join(sets, "fp")
+    heads = split.join(sets.select(F.col("fp").alias("centre"), F.col("grams").alias("grams_c")), "centre")
+    heads = heads.select("centre", "grams_c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = spool(changes(mine.join(heads, ["centre", "block"]).select("centre", "fp", "root", "size", "grams", "grams_c"), order, similarity))
+    parts = rows.groupBy("centre", "e", "root").agg(F.count("*").alias("c")).groupBy("centre", "e")
+    parts = parts.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("r"), F.sum("c").alias("n")).where("r > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = spool(rows.join(parts, "k").join(small, "fp").select("k", "fp", "size", "other", "root", (F.col("root") == F.col("main")).alias("is_main"), blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block")))
-    left = held.where("not is_main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "block", "fp", "size", "other", "root")
-    right = _theirs(held.drop("blocks"), "k", "block")
-    pairs = left.join(right, ["k", "block"]).where("root <> root_b and (is_main_b or fp < b)").where(_near_sizes(similarity))
-    return _enough(pairs, similarity)
+    held = spool(rows.join(parts, ["centre", "e"]).withColumns({"is_main": F.col("root") == F.col("main"), "blocks": blocks, "block": F.pmod(F.xxhash64("fp"), blocks).cast("int")}).drop("main", "r", "n"))
+    left = held.where("not is_main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("is_main", "blocks")
+    right = _theirs(held.drop("blocks"), "centre", "e", "block")
+    room = (F.col("room") >= F.col("need_b") - EPS) & (F.col("room_b") >= F.col("need") - EPS)
+    pairs = left.join(right, ["centre", "e", "block"]).where("root <> root_b and (is_main_b or fp < b)").where(room & _near_sizes(similarity))
+    return spool(pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct())
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -237,15 +295,15 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def links(docs: DataFrame, texts: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET, turns: int = TURNS) -> DataFrame:
     """Edges a, b between distinct texts (columns fp, th) that connect all near-copies."""
-    order = rarity(docs, text_col=text_col, shingle=shingle)
+    order = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col=text_col, shingle=shingle))
     key = Window.partitionBy("k")
     met = keys(docs, order, text_col=text_col, shingle=shingle, similarity=similarity).withColumns({"lo": F.min("fp").over(key), "hi": F.max("fp").over(key)})
     met = spool(met.where("lo <> hi").select("k", "fp").distinct())
     sets = spool(shingle_sets(docs, texts.join(met, "fp", "left_semi").select("th"), text_col=text_col, shingle=shingle))
     n = met.groupBy("k").agg(F.count("*").alias("n"))
-    weights = met.join(n, "k").groupBy("fp").agg(F.sum("n").alias("weight"), F.count(F.when(F.col("n") <= max_bucket, 1)).alias("small"))
+    weights = met.join(n, "k").groupBy("fp").agg(F.sum("n").alias("weight"))
     weights = spool(weights.join(sets.select("fp", "size"), "fp"))
-    rows = met.join(weights.drop("small"), "fp")
+    rows = met.join(weights, "fp")
     done = roots = many = None
     for turn in range(1, turns + 1):
         held = buckets(rows)
@@ -266,7 +324,7 @@ def links(docs: DataFrame, texts: DataFrame, *, text_col: str = "text", shingle:
         return done
     if turn > 1 and large.limit(1).count() == 0:  # roots lack the last turn's links
         roots = spool(connected_components(done))
-    rest = apart(many.join(weights.select("fp", "small"), "fp"), roots, similarity=similarity, max_bucket=max_bucket)
+    rest = apart(many, roots, sets, order, similarity=similarity)
     return done.union(spool(verified(rest, sets, similarity)))
 
 

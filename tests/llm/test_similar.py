@@ -82,3 +82,53 @@ def test_a_common_passage_and_drifting_versions(spark, sf_dir):
     texts += ["a b", "A  b", "a b c d e", "a b c d e f", "", " "]
     want = kept_by_brute_force([t if t.strip() else "none" for t in texts])
     assert kept(spark, sf_dir, texts) == want
+
+
+def join_rows(spark, since):
+    """The most rows that a join of the SQL executions from this one on made, and the next execution's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most, after = store.executionsList(), 0, since
+    for i in range(runs.size()):
+        number = runs.apply(i).executionId()
+        if number < since:
+            continue
+        after = max(after, number + 1)
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            of = [node.metrics().apply(j) for j in range(node.metrics().size())] if "Join" in node.name() else []
+            found = [values.get(m.accumulatorId()) for m in of if m.name() == "number of output rows"]
+            most = max([most, *(int(v.get().replace(",", "")) for v in found if v.isDefined())])
+    return most, after
+
+
+def test_a_large_family_meets_few_pairs(spark, sf_dir):
+    """Hundreds of texts that no link brings to their family's centre aren't met with all of the family."""
+    texts = family(np.random.default_rng(9), 150, 400, 8)
+    want = kept_by_brute_force(texts)
+    since = join_rows(spark, 0)[1]
+    assert kept(spark, sf_dir, texts) == want and len(want) > 150
+    most = join_rows(spark, since)[0]
+    assert 0 < most < 60 * len(texts), most
+
+
+def test_families_that_leave_out_or_add_as_by_brute_force(spark, sf_dir):
+    """Near copies of no common size: parts left out, parts added, and a second family in the same buckets."""
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(200)]
+    other = base[:120] + [f"o{i}" for i in range(90)]
+    texts = []
+    for i in range(90):
+        for w in (base, other):
+            w, n = list(w), int(rng.integers(5, 40))
+            at = int(rng.integers(0, len(w) - n))
+            if i % 3 == 0:
+                del w[at : at + n]
+            elif i % 3 == 1:
+                w[at:at] = [f"a{x}" for x in rng.integers(0, 40, n)]
+            for j in rng.choice(len(w), int(rng.integers(0, 7)), replace=False):
+                w[j] = f"x{rng.integers(3)}"
+            texts.append(" ".join(w))
+    want = kept_by_brute_force(texts)
+    assert 20 < len(want) < len(texts) - 20
+    assert kept(spark, sf_dir, texts) == want
